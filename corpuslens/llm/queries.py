@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.llm import reading_level
 from corpuslens.llm.cross_split import OverlapConfig, cross_split_overlap, overlap_report
 from corpuslens.llm.formatting_duplicates import collapsed, formatting_duplicates
+from corpuslens.llm.group_split import group_split, repo_name
 from corpuslens.llm.leakage import LeakConfig, leaked_items
 from corpuslens.llm.near_duplicates import NearDupConfig, NearDuplicates, near_duplicates
 from corpuslens.llm.quota_sample import quota_sample
+from corpuslens.llm.syntax_check import check_syntax, syntax_rates
 from corpuslens.llm.term_frequency import marked, term_frequency
 from corpuslens.llm.tokenizer import encode_texts
 
@@ -214,3 +217,53 @@ def p10_ratings(spark, sf_dir):
     """Documents by the median of their human ratings and their computed level."""
     rated = table(spark, sf_dir, "doc_levels").where("level is not null").groupBy("doc_id").agg(F.median("level").alias("rated"))
     return p10_levels(spark, sf_dir).join(rated, "doc_id").groupBy("rated", "level").agg(F.count("*").alias("documents"))
+
+
+# ---- 5: splits that keep repositories together ----------------------------------------------
+
+
+def _split(spark, sf_dir):
+    records = table(spark, sf_dir, "test_v2")
+    keys = {"repo": F.nullif(repo_name(F.col("repo")), F.lit("unknown"))}
+    return records, group_split(records, "sample_id", keys, "label", table(spark, sf_dir, "split_targets")).records.withColumnRenamed("id", "sample_id")
+
+
+@query
+def p5_splits(spark, sf_dir):
+    """Every record with its component and its split."""
+    return _split(spark, sf_dir)[1]
+
+
+@query
+def p5_shares(spark, sf_dir):
+    """Records and share of all records of every split and label, and the share asked for."""
+    records, splits = _split(spark, sf_dir)
+    labels = records.where("sample_id is not null").groupBy("sample_id").agg(F.min("label").alias("label"))
+    by = labels.join(splits, "sample_id").groupBy("split_name", "label").agg(F.count("*").alias("records"))
+    share = F.col("records") * 1000 / F.sum("records").over(W.partitionBy("label"))
+    return by.withColumn("permille", F.round(share, 3)).join(F.broadcast(table(spark, sf_dir, "split_targets").limit(1000)), "split_name", "left")
+
+
+# ---- 6: files that do not parse ---------------------------------------------------------------
+
+
+def _checked(spark, sf_dir):
+    return check_syntax(table(spark, sf_dir, "test_v2"), "sample_id", "vulnerable_code", "language", repo_name(F.col("repo")))
+
+
+@query
+def p6_found(spark, sf_dir):
+    """Records whose code is not valid syntax of its language."""
+    return _checked(spark, sf_dir).where("verdict <> 'ok'").select(F.col("id").alias("sample_id")).where("sample_id is not null").distinct()
+
+
+@query
+def p6_files(spark, sf_dir):
+    """Every checked record with its verdict and, if flagged, the failing token and line."""
+    return _checked(spark, sf_dir).withColumnRenamed("id", "sample_id")
+
+
+@query
+def p6_rates(spark, sf_dir):
+    """Files, damaged files and their rate by repository and language."""
+    return syntax_rates(_checked(spark, sf_dir))
