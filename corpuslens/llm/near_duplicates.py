@@ -56,6 +56,8 @@ class NearDupConfig:
     width: int = 6
     max_distance: int = 46
     block: int = 256
+    #: up to so many keys of candidate texts are broadcast (24 bytes each), more are joined by shuffle
+    broadcast_keys: int = 1_000_000
 
     @property
     def symbols(self) -> int:
@@ -85,8 +87,19 @@ def patterns(fp: np.ndarray, groups: np.ndarray, cfg: NearDupConfig) -> np.ndarr
     return X.mix(total[:, :, None] - by + left_out[None] + groups[:, None, None]).reshape(len(fp), -1)
 
 
+def _gkey(field: str, words: list[bytes]) -> bytes:
+    """Key of all texts of a field that have the same words in the same order."""
+    return xxhash.xxh3_128_digest(b"\0".join([field.encode(), *words]))
+
+
+def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [_gkey(f, X.words(t)) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(1)], names=["gkey", "text"])
+
+
 def _features(cfg: NearDupConfig):
-    schema = "code_field string, sample_id string, gkey binary, k long, fp binary, shingles binary"
+    schema = "code_field string, sample_id string, gkey binary, k long, fp binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +110,7 @@ def _features(cfg: NearDupConfig):
             has = np.flatnonzero(np.diff(at))
             starts = np.append(at[has], len(h))
             fp = fingerprints(h, starts, cfg.symbols)
-            keys = [xxhash.xxh3_128_digest(b"\0".join([fields[i].encode(), *lists[i]])) for i in has]
+            keys = [_gkey(fields[i], lists[i]) for i in has]
             k = np.array([int.from_bytes(x[:8], "little", signed=True) for x in keys], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -106,9 +119,8 @@ def _features(cfg: NearDupConfig):
                     pa.array(keys, pa.binary()),
                     pa.array(k, pa.int64()),
                     pa.array([r.tobytes() for r in fp], pa.binary()),
-                    pa.array([h[a:z].tobytes() for a, z in zip(starts[:-1], starts[1:])], pa.binary()),
                 ],
-                names=["code_field", "sample_id", "gkey", "k", "fp", "shingles"],
+                names=["code_field", "sample_id", "gkey", "k", "fp"],
             )
 
     return run, schema
@@ -146,7 +158,8 @@ def _close(cfg: NearDupConfig):
 def _exact(cfg: NearDupConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sim = [X.jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            left, right = (X.shingle_sets(b.column(i).to_pylist(), cfg.words) for i in (2, 3))
+            sim = [X.jaccard(x, y) for x, y in zip(left, right)]
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], names=["gkey_a", "gkey_b", "similarity"])
             yield out.filter(pa.array([s >= cfg.threshold - 1e-12 for s in sim], pa.bool_()))
 
@@ -247,9 +260,13 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupC
     run, schema = _close(cfg)
     close = pairs.join(a, "ka").join(b, "kb").select("gkey_a", "gkey_b", "fp_a", "fp_b").mapInArrow(run, schema)
     close = materialise(close, "near-candidates")
+    # only texts that are in a candidate pair are read again for the exact comparison
     need = close.select(F.col("gkey_a").alias("gkey")).union(close.select("gkey_b")).distinct()
-    sets = feats.select("gkey", "shingles").join(need, "gkey", "left_semi").groupBy("gkey").agg(F.first("shingles").alias("s"))
+    if need.limit(cfg.broadcast_keys + 1).count() <= cfg.broadcast_keys:
+        need = F.broadcast(need)
+    texts = rows.select("code_field", "text").mapInArrow(_keyed_texts, "gkey binary, text string")
+    texts = texts.join(need, "gkey", "left_semi").groupBy("gkey").agg(F.first("text").alias("text"))
     run, schema = _exact(cfg)
-    links = close.join(sets.select(F.col("gkey").alias("gkey_a"), F.col("s").alias("s_a")), "gkey_a").join(sets.select(F.col("gkey").alias("gkey_b"), F.col("s").alias("s_b")), "gkey_b")
-    links = links.select("gkey_a", "gkey_b", "s_a", "s_b").mapInArrow(run, schema)
+    links = close.join(texts.toDF("gkey_a", "text_a"), "gkey_a").join(texts.toDF("gkey_b", "text_b"), "gkey_b")
+    links = links.select("gkey_a", "gkey_b", "text_a", "text_b").mapInArrow(run, schema)
     return NearDuplicates(members, materialise(links, "near-links"))
