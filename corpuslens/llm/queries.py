@@ -194,7 +194,7 @@ def p9_leaks(spark, sf_dir):
 
 _LEVELS = reading_level.sql("documents", "doc_id", "text")
 SQL["p10_levels"] = _LEVELS
-SQL["p10_profile"] = f"SELECT level, count(*) AS documents, sum(n_words) AS words, sum(n_sentences) AS sentences FROM ({_LEVELS}) GROUP BY level"
+SQL["p10_profile"] = f"SELECT level, count(*) AS documents, CAST(sum(n_words) AS BIGINT) AS words, CAST(sum(n_sentences) AS BIGINT) AS sentences FROM ({_LEVELS}) GROUP BY level"
 SQL["p10_ratings"] = f"""
 SELECT rated, level, count(*) AS documents FROM (SELECT doc_id, median(level) AS rated FROM doc_levels WHERE level IS NOT NULL GROUP BY doc_id)
 JOIN ({_LEVELS}) USING (doc_id) GROUP BY rated, level"""
