@@ -12,9 +12,9 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / F.when(b == 0, 1).otherwise(b))
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, *by: str, digits: int = 4) -> DataFrame:
+def confusion(df: DataFrame, truth: str, predicted: Column, *by: str, digits: int = 4) -> DataFrame:
     """tp, fp, tn, fn, accuracy, precision, recall and f1 per group; rows without a truth or a prediction are left out."""
-    t, p = F.col(truth) == 1, F.col(predicted)
+    t, p = F.col(truth) == 1, predicted
     x = df.where(F.col(truth).isNotNull() & p.isNotNull()).groupBy(*by).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
@@ -23,9 +23,9 @@ def confusion(df: DataFrame, truth: str, predicted: str, *by: str, digits: int =
     return x.withColumns({n: F.round(e, digits) for n, e in scores.items()})
 
 
-def recall_by_class(df: DataFrame, truth: str, predicted: str, cls: str) -> DataFrame:
+def recall_by_class(df: DataFrame, truth: str, predicted: Column, cls: str) -> DataFrame:
     """Recall of the positives of each class; a null class is `unknown`."""
-    x = df.where((F.col(truth) == 1) & F.col(predicted).isNotNull()).groupBy(F.coalesce(F.nullif(F.trim(cls), F.lit("")), F.lit("unknown")).alias("cwe"))
+    x = df.where((F.col(truth) == 1) & predicted.isNotNull()).groupBy(F.coalesce(F.nullif(F.trim(cls), F.lit("")), F.lit("unknown")).alias("cwe"))
     return x.agg(F.count("*").alias("total"), F.count_if(predicted).alias("found")).withColumn("recall", F.round(F.col("found") / F.col("total"), 4))
 
 

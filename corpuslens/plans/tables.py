@@ -45,13 +45,13 @@ FEATURES_SQL = ", ".join(f"regexp_matches(code, '{p}') AS {n}" for n, p in C.FEA
 def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One opinion per record and run configuration, the latest run; failed runs have none."""
     p = table(spark, sf_dir, "predictions").where("predicted_vuln is not null and sample_id is not null and run_config is not null")
-    p = p.groupBy("sample_id", "run_config").agg(F.max_by(F.struct("predicted_vuln", "confidence", "predicted_cwe", "true_label", "true_cwe", "raw_predicted_vuln", "verification_status", "elapsed"), "run_at").alias("p"))
+    p = p.groupBy("sample_id", "run_config").agg(F.max_by(F.struct("predicted_vuln", "confidence", "predicted_cwe", "true_label", "true_cwe", "raw_predicted_vuln", "verification_status", "elapsed"), F.struct("run_at", "elapsed", "confidence", "predicted_cwe")).alias("p"))
     return p.select("sample_id", F.col("run_config").alias("persona"), F.col("p.predicted_vuln").alias("has_vuln"), "p.confidence", F.nullif(F.trim(F.split("p.predicted_cwe", ":")[0]), F.lit("")).alias("cwe"), F.concat(F.lit("by "), "run_config").alias("reason"), "p.true_label", "p.true_cwe", "p.raw_predicted_vuln", "p.verification_status", "p.elapsed")
 
 
 OPINIONS = """
 opinions AS (SELECT sample_id, run_config AS persona, predicted_vuln AS has_vuln, confidence, nullif(trim(split_part(predicted_cwe, ':', 1)), '') AS cwe, 'by ' || run_config AS reason, true_label, true_cwe, raw_predicted_vuln, verification_status, elapsed
-  FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, run_config ORDER BY run_at DESC) AS rn FROM predictions WHERE predicted_vuln IS NOT NULL AND sample_id IS NOT NULL AND run_config IS NOT NULL) WHERE rn = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, run_config ORDER BY run_at DESC NULLS LAST, elapsed DESC NULLS LAST, confidence DESC NULLS LAST, predicted_cwe DESC NULLS LAST) AS rn FROM predictions WHERE predicted_vuln IS NOT NULL AND sample_id IS NOT NULL AND run_config IS NOT NULL) WHERE rn = 1)"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
