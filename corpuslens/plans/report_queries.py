@@ -10,7 +10,7 @@ from corpuslens.operators import model as M
 from corpuslens.operators import stats as S
 from corpuslens.plans.catalogue import query
 from corpuslens.plans.corpus_queries import ANTI, ANTI_SQL, flagged
-from corpuslens.plans.stats_queries import _API, _CODE, _COMPLEX, _FREQ, _L, _LAYERS, _ODDS, _PMI, _WILSON, POSITIVE, density_sql, feature_tests, labelled, long_metrics, model_input, pmi_table
+from corpuslens.plans.stats_queries import _API, _CODE, _COMPLEX, _FREQ, _L, _LAYERS, _ODDS, _PMI, _WILSON, density_sql, feature_tests, labelled, long_metrics, model_input, pmi_table, positive
 from corpuslens.plans.tables import samples, with_samples
 
 #: Places in the public 2024 list of dangerous weaknesses.
@@ -21,7 +21,7 @@ HIGH = ("HIGH", "CRITICAL")
 @query("report_r1", with_samples(", r(cwe, external_rank) AS (VALUES " + ", ".join(f"('{c}', {n})" for c, n in TOP25.items()) + "), l(cwe, layer) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LAYERS) + "), n AS (SELECT cwe, count(*) AS n, count_if(severity IN ('HIGH', 'CRITICAL')) AS high FROM samples WHERE label = 1 GROUP BY cwe) SELECT cwe, n, round(n * 100.0 / sum(n) OVER (), 4)::DOUBLE AS share, high, coalesce(layer, 'unmapped') AS layer, external_rank, row_number() OVER (ORDER BY n DESC, cwe) AS place FROM n LEFT JOIN r USING (cwe) LEFT JOIN l USING (cwe)"))
 def report_r1(spark, sf):
     """Classes of the vulnerable samples: share, severity, layer and rank elsewhere."""
-    n = samples(spark, sf).where(POSITIVE).groupBy("cwe").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin(*HIGH)).alias("high"))
+    n = samples(spark, sf).where(positive()).groupBy("cwe").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin(*HIGH)).alias("high"))
     rank = spark.createDataFrame(list(TOP25.items()), "cwe string, external_rank int")
     layer = spark.createDataFrame(_LAYERS, "cwe string, layer string")
     x = n.join(F.broadcast(rank), "cwe", "left").join(F.broadcast(layer), "cwe", "left")  # eleven and eight rows
@@ -30,16 +30,16 @@ def report_r1(spark, sf):
 
 @query("report_r1_diversity", with_samples(", n AS (SELECT cwe, count(*) AS n FROM samples WHERE label = 1 GROUP BY cwe), p AS (SELECT *, n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n) AS i FROM n) SELECT count(*) AS classes, round(sum(-p * log2(p)), 6) AS entropy, round(sum(-p * log2(p)) / log2(count(*)), 6) AS evenness, round(1 - sum(p * p), 6) AS gini_simpson, round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini FROM p"))
 def report_r1_diversity(spark, sf):
-    return S.diversity(samples(spark, sf).where(POSITIVE).groupBy("cwe").agg(F.count("*").alias("n")), "n")
+    return S.diversity(samples(spark, sf).where(positive()).groupBy("cwe").agg(F.count("*").alias("n")), "n")
 
 
 @query("report_r2", with_samples(density_sql(_L, "l", "component", "label = 1").replace("SELECT component, total", ", k AS (SELECT component, cwe AS top_class, n AS top_n FROM (SELECT component, cwe, count(*) AS n, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, cwe) AS r FROM l WHERE label = 1 GROUP BY component, cwe) WHERE r = 1) SELECT component, top_class, top_n, total", 1).replace("FROM x", "FROM x LEFT JOIN k USING (component)")))
 def report_r2(spark, sf):
     """Density, interval and odds ratio per component with its most frequent class."""
     x = labelled(spark, sf)
-    c = x.where(POSITIVE).groupBy("component", "cwe").agg(F.count("*").alias("n"))
+    c = x.where(positive()).groupBy("component", "cwe").agg(F.count("*").alias("n"))
     top = c.groupBy("component").agg(F.min_by(F.struct("cwe", "n"), F.struct(-F.col("n"), F.col("cwe"))).alias("m")).select("component", F.col("m.cwe").alias("top_class"), F.col("m.n").alias("top_n"))
-    return S.density(x, "component", POSITIVE).join(top, "component", "left")
+    return S.density(x, "component", positive()).join(top, "component", "left")
 
 
 def _exact(x, tie):
@@ -49,7 +49,7 @@ def _exact(x, tie):
 @query("report_r2_tests")
 def report_r2_tests(spark, sf):
     """Exact tests of every component against the rest, Holm-adjusted."""
-    return S.holm(_exact(S.two_by_two(labelled(spark, sf), "component", POSITIVE), "component"), "p", "component")
+    return S.holm(_exact(S.two_by_two(labelled(spark, sf), "component", positive()), "component"), "p", "component")
 
 
 @query("report_r3", with_samples(_FREQ + ", e AS (SELECT metric, round(avg(value) FILTER (WHERE label = 1), 6) AS mean_1, round(avg(value) FILTER (WHERE label <> 1), 6) AS mean_0, median(value) FILTER (WHERE label = 1) AS median_1, median(value) FILTER (WHERE label <> 1) AS median_0 FROM u GROUP BY metric) SELECT metric, mean_1, mean_0, median_1, median_0, round(2 * (u / (n1 * n0)) - 1, 6) AS delta, round(u / (n1 * n0), 6) AS a FROM t JOIN e USING (metric)"))
@@ -57,14 +57,14 @@ def report_r3(spark, sf):
     """Complexity of vulnerable and clean samples."""
     x = long_metrics(spark, sf)
     v = lambda p: F.when(p, F.col("value"))
-    m = x.groupBy("metric").agg(F.round(F.avg(v(POSITIVE)), 6).alias("mean_1"), F.round(F.avg(v(~POSITIVE)), 6).alias("mean_0"), F.median(v(POSITIVE)).alias("median_1"), F.median(v(~POSITIVE)).alias("median_0"))
-    return m.join(S.rank_test(x, "value", POSITIVE, "metric").select("metric", "delta", "a"), "metric")
+    m = x.groupBy("metric").agg(F.round(F.avg(v(positive())), 6).alias("mean_1"), F.round(F.avg(v(~positive())), 6).alias("mean_0"), F.median(v(positive())).alias("median_1"), F.median(v(~positive())).alias("median_0"))
+    return m.join(S.rank_test(x, "value", positive(), "metric").select("metric", "delta", "a"), "metric")
 
 
 @query("report_r3_tests")
 def report_r3_tests(spark, sf):
     """Rank tests of the metrics, Holm-adjusted, with effect labels."""
-    return S.holm(S.rank_test(long_metrics(spark, sf), "value", POSITIVE, "metric"), "p", "metric")
+    return S.holm(S.rank_test(long_metrics(spark, sf), "value", positive(), "metric"), "p", "metric")
 
 
 _FAMILY = "CASE WHEN language IN ('c', 'c++', 'cpp', 'cxx') THEN 'C/C++' WHEN language IN ('python', 'py', 'python3') THEN 'Python' ELSE 'other' END"
@@ -78,13 +78,13 @@ def by_family(spark, sf):
 @query("report_r4", with_samples(density_sql(_L + f", fam AS (SELECT *, {_FAMILY} AS family FROM l)", "fam", "family", "label = 1")))
 def report_r4(spark, sf):
     """Density per language."""
-    return S.density(by_family(spark, sf), "family", POSITIVE)
+    return S.density(by_family(spark, sf), "family", positive())
 
 
 @query("report_r4_tests")
 def report_r4_tests(spark, sf):
     """Per class, the exact test of C/C++ against Python among the vulnerable samples, Holm-adjusted."""
-    x = by_family(spark, sf).where(POSITIVE & (F.col("family") != "other"))
+    x = by_family(spark, sf).where(positive() & (F.col("family") != "other"))
     c = F.col("family") == "C/C++"
     t = x.groupBy("cwe").agg(F.count_if(c).alias("a"), F.count_if(~c).alias("b"))
     w = W.partitionBy()
@@ -109,7 +109,7 @@ def report_r5_tests(spark, sf):
 @query("report_r6", with_samples(f", c AS ({_CODE}), f AS (SELECT cwe, {ANTI_SQL} FROM c WHERE label = 1), u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, cwe, count_if({n}) AS n, count(*) AS total FROM f GROUP BY cwe" for n in ANTI) + "), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, cwe) AS k, sum(n) OVER (PARTITION BY pattern) AS all_, sum(total) OVER (PARTITION BY pattern) AS t FROM u) SELECT pattern, all_::BIGINT AS n, round(all_ * 100.0 / t, 4)::DOUBLE AS prevalence, cwe AS dominant_class, n AS dominant_n FROM r WHERE k = 1"))
 def report_r6(spark, sf):
     """Anti-patterns of the vulnerable samples with the class they occur in most."""
-    x = flagged(spark, sf).where(POSITIVE).unpivot(["cwe"], ANTI, "pattern", "has").groupBy("pattern", "cwe").agg(F.count_if("has").alias("n"), F.count("*").alias("total"))
+    x = flagged(spark, sf).where(positive()).unpivot(["cwe"], ANTI, "pattern", "has").groupBy("pattern", "cwe").agg(F.count_if("has").alias("n"), F.count("*").alias("total"))
     y = x.groupBy("pattern").agg(F.sum("n").alias("all_"), F.sum("total").alias("t"), F.min_by(F.struct("cwe", "n"), F.struct(-F.col("n"), F.col("cwe"))).alias("m"))
     return y.select("pattern", F.col("all_").alias("n"), F.round(F.col("all_") * 100.0 / F.col("t"), 4).alias("prevalence"), F.col("m.cwe").alias("dominant_class"), F.col("m.n").alias("dominant_n"))
 
@@ -120,26 +120,26 @@ _SEV = ", s AS (SELECT *, severity IN ('HIGH', 'CRITICAL') AS high FROM samples
 @query("report_r7", with_samples(_SEV + f", g AS (SELECT cwe, count_if(high) AS h, count_if(NOT high) AS l FROM s GROUP BY cwe), x AS (SELECT cwe, h AS n_high, h + l AS total, h + 0.5::DOUBLE AS a, l + 0.5::DOUBLE AS b, sum(h) OVER () - h + 0.5::DOUBLE AS c, sum(l) OVER () - l + 0.5::DOUBLE AS d FROM g) SELECT cwe, n_high, total, {_ODDS} FROM x"))
 def report_r7(spark, sf):
     """High and critical severity per class with the odds ratio against the other classes."""
-    x = samples(spark, sf).where(POSITIVE)
+    x = samples(spark, sf).where(positive())
     t = S.two_by_two(x, "cwe", F.col("severity").isin(*HIGH))
     return t.withColumns(S.odds_ratio(*(F.col(c) for c in "abcd"))).select("cwe", F.col("a").alias("n_high"), (F.col("a") + F.col("b")).alias("total"), "odds_ratio", "or_low", "or_high")
 
 
 @query("report_r7_levels", with_samples("SELECT severity, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM samples WHERE label = 1 GROUP BY severity"))
 def report_r7_levels(spark, sf):
-    return S.shares(samples(spark, sf).where(POSITIVE), "severity")
+    return S.shares(samples(spark, sf).where(positive()), "severity")
 
 
 @query("report_r7_tests")
 def report_r7_tests(spark, sf):
-    t = S.two_by_two(samples(spark, sf).where(POSITIVE), "cwe", F.col("severity").isin(*HIGH))
+    t = S.two_by_two(samples(spark, sf).where(positive()), "cwe", F.col("severity").isin(*HIGH))
     return S.benjamini_hochberg(_exact(t, "cwe"), "p", "cwe")
 
 
 @query("report_r8", with_samples(f", g AS (SELECT repo, count(*) AS total, count_if(label = 1) AS positive, count(DISTINCT cwe) AS classes FROM samples WHERE label IS NOT NULL GROUP BY repo) SELECT repo, total, positive, classes, round(positive / total, 6) AS density, {_WILSON} FROM g"))
 def report_r8(spark, sf):
     """Size, density with its interval, and number of classes per repository."""
-    g = labelled(spark, sf).groupBy("repo").agg(F.count("*").alias("total"), F.count_if(POSITIVE).alias("positive"), F.count_distinct("cwe").alias("classes"))
+    g = labelled(spark, sf).groupBy("repo").agg(F.count("*").alias("total"), F.count_if(positive()).alias("positive"), F.count_distinct("cwe").alias("classes"))
     return g.withColumn("density", F.round(F.col("positive") / F.col("total"), 6)).withColumns(S.wilson(F.col("positive"), F.col("total")))
 
 
@@ -155,14 +155,14 @@ def report_r8_concentration(spark, sf):
 @query("report_r8_tests")
 def report_r8_tests(spark, sf):
     """Rank correlation of a repository's size and density."""
-    g = labelled(spark, sf).groupBy("repo").agg(F.count("*").alias("total"), F.avg(POSITIVE.cast("double")).alias("density"))
+    g = labelled(spark, sf).groupBy("repo").agg(F.count("*").alias("total"), F.avg(positive().cast("double")).alias("density"))
     return S.spearman(g, "total", "density")
 
 
 @query("report_r9", with_samples(_L + f", f AS (SELECT *, {_FAMILY} AS family FROM l), n AS (SELECT cwe, component, family, count(*) AS n, count_if(label = 1) AS positive FROM f GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY cwe) AS a, sum(n) OVER (PARTITION BY component) AS b, sum(n) OVER (PARTITION BY family) AS c, sum(n) OVER () AS t FROM n) SELECT cwe, component, family, n, positive, round(n::DOUBLE * t * t / (a::DOUBLE * b * c), 6) AS lift FROM w"))
 def report_r9(spark, sf):
     """Combinations of class, component and language with their lift over independence."""
-    n = by_family(spark, sf).groupBy("cwe", "component", "family").agg(F.count("*").alias("n"), F.count_if(POSITIVE).alias("positive"))
+    n = by_family(spark, sf).groupBy("cwe", "component", "family").agg(F.count("*").alias("n"), F.count_if(positive()).alias("positive"))
     s = lambda *k: F.sum("n").over(W.partitionBy(*k))
     lift = F.col("n").cast("double") * s() * s() / (s("cwe").cast("double") * s("component") * s("family"))
     return n.withColumn("lift", F.round(lift, 6))
@@ -174,7 +174,7 @@ def report_r9_clusters(spark, sf):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    c = samples(spark, sf).where(POSITIVE).groupBy("component", "cwe").agg(F.count("*").alias("n"))
+    c = samples(spark, sf).where(positive()).groupBy("component", "cwe").agg(F.count("*").alias("n"))
     top = [r.cwe for r in c.groupBy("cwe").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cwe").limit(8).collect()]
     x = c.groupBy("component").pivot("cwe", top).agg(F.sum("n")).na.fill(0)
     total = sum((F.col(f"`{t}`") for t in top), F.lit(0))

@@ -15,7 +15,9 @@ from corpuslens.plans.corpus_queries import _CODE, ANTI, ANTI_SQL, METRICS_SQL,
 from corpuslens.plans.tables import FEATURES_SQL, samples, table, with_samples
 
 Z = S.Z975
-POSITIVE = F.col("label") == 1
+def positive():
+    return F.col("label") == 1
+
 
 
 def labelled(spark, sf):
@@ -36,7 +38,7 @@ SELECT {group}, total, positive, round(positive / total, 6) AS density, {_WILSON
 
 @query("density_by_component", with_samples(density_sql(_L, "l", "component", "label = 1")))
 def density_by_component(spark, sf):
-    return S.density(labelled(spark, sf), "component", POSITIVE)
+    return S.density(labelled(spark, sf), "component", positive())
 
 
 @query("class_distribution_share", with_samples("SELECT cwe, n, round(n * 100.0 / sum(n) OVER (), 4)::DOUBLE AS share FROM (SELECT cwe, count(*) AS n FROM samples GROUP BY cwe)"))
@@ -62,7 +64,7 @@ def dominant_class_per_group(spark, sf):
 
 @query("top_repos_cumulative", with_samples(", r AS (SELECT repo, count(*) AS n, count_if(label = 1) AS positive FROM samples GROUP BY repo), t AS (SELECT * FROM r ORDER BY n DESC, repo LIMIT 10) SELECT repo, n, positive, round(sum(n) OVER (ORDER BY n DESC, repo ROWS UNBOUNDED PRECEDING) * 100.0 / (SELECT sum(n) FROM r), 4)::DOUBLE AS cumulative FROM t"))
 def top_repos_cumulative(spark, sf):
-    r = samples(spark, sf).groupBy("repo").agg(F.count("*").alias("n"), F.count_if(POSITIVE).alias("positive"))
+    r = samples(spark, sf).groupBy("repo").agg(F.count("*").alias("n"), F.count_if(positive()).alias("positive"))
     total = r.agg(F.sum("n").alias("t"))
     top = r.orderBy(F.desc("n"), "repo").limit(10)  # the report is on ten repositories
     w = W.orderBy(F.desc("n"), "repo").rowsBetween(W.unboundedPreceding, 0)
@@ -80,7 +82,7 @@ def repo_class_profile_grid(spark, sf):
 
 @query("grouping_sets_combo", with_samples("SELECT coalesce(component, 'all') AS component, coalesce(language, 'all') AS language, grouping(component) + 2 * grouping(language) AS level, count(*) AS n, count_if(label = 1) AS positive FROM samples GROUP BY CUBE (component, language)"))
 def grouping_sets_combo(spark, sf):
-    x = samples(spark, sf).cube("component", "language").agg((F.grouping("component").cast("int") + 2 * F.grouping("language").cast("int")).cast("long").alias("level"), F.count("*").alias("n"), F.count_if(POSITIVE).alias("positive"))
+    x = samples(spark, sf).cube("component", "language").agg((F.grouping("component").cast("int") + 2 * F.grouping("language").cast("int")).cast("long").alias("level"), F.count("*").alias("n"), F.count_if(positive()).alias("positive"))
     return x.select(F.coalesce("component", F.lit("all")).alias("component"), F.coalesce("language", F.lit("all")).alias("language"), "level", "n", "positive")
 
 
@@ -136,27 +138,27 @@ t AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 * n0 / 12 * ((n1 + n0 + 1) - tie
 
 @query("cliffs_delta", with_samples(_FREQ + " SELECT metric, round(2 * (u / (n1 * n0)) - 1, 6) AS delta FROM t"))
 def cliffs_delta(spark, sf):
-    return S.rank_test(long_metrics(spark, sf), "value", POSITIVE, "metric").select("metric", "delta")
+    return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "delta")
 
 
 @query("vargha_delaney", with_samples(_FREQ + " SELECT metric, round(u / (n1 * n0), 6) AS a FROM t"))
 def vargha_delaney(spark, sf):
-    return S.rank_test(long_metrics(spark, sf), "value", POSITIVE, "metric").select("metric", "a")
+    return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "a")
 
 
 @query("mann_whitney_u", with_samples(_FREQ + " SELECT metric, n1::BIGINT AS n1, n0::BIGINT AS n0, u, round(greatest(abs(u - n1 * n0 / 2) - 0.5::DOUBLE, 0.0::DOUBLE) / sqrt(var) * sign(u - n1 * n0 / 2), 6) AS z FROM t"))
 def mann_whitney_u(spark, sf):
-    return S.rank_test(long_metrics(spark, sf), "value", POSITIVE, "metric").select("metric", "n1", "n0", "u", "z")
+    return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "n1", "n0", "u", "z")
 
 
 @query("cohens_d", with_samples(_LONG + ", d AS (SELECT metric, count_if(label = 1) AS n1, count_if(label <> 1) AS n0, avg(value) FILTER (WHERE label = 1) AS m1, avg(value) FILTER (WHERE label <> 1) AS m0, var_samp(value) FILTER (WHERE label = 1) AS v1, var_samp(value) FILTER (WHERE label <> 1) AS v0 FROM u GROUP BY metric), e AS (SELECT *, coalesce(round((m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0), 6), 0) AS d FROM d) SELECT metric, n1, n0, d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM e"))
 def cohens_d(spark, sf):
-    return S.cohens_d(long_metrics(spark, sf), "value", POSITIVE, "metric")
+    return S.cohens_d(long_metrics(spark, sf), "value", positive(), "metric")
 
 
 @query("effect_labels", with_samples(_FREQ + ", d AS (SELECT metric, round(2 * (u / (n1 * n0)) - 1, 6) AS delta FROM t) SELECT metric, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d"))
 def effect_labels(spark, sf):
-    return S.rank_test(long_metrics(spark, sf), "value", POSITIVE, "metric").select("metric", "effect")
+    return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "effect")
 
 
 def _spearman_sql(x: str, y: str, source: str) -> str:
@@ -220,7 +222,7 @@ _PMI = f", c AS ({_CODE}), f AS (SELECT cwe, {FEATURES_SQL} FROM c WHERE label =
 
 
 def pmi_table(spark, sf):
-    j = long_features(spark, sf, "label", "cwe").where(POSITIVE).groupBy("feature", "cwe").agg(F.count_if("has").alias("joint"), F.count("*").alias("n_cwe"))
+    j = long_features(spark, sf, "label", "cwe").where(positive()).groupBy("feature", "cwe").agg(F.count_if("has").alias("joint"), F.count("*").alias("n_cwe"))
     w = W.partitionBy("feature")
     j = j.withColumns({"n_feature": F.sum("joint").over(w), "total": F.sum("n_cwe").over(w)})
     return j.withColumn("pmi", S.pmi(F.col("joint"), F.col("n_feature"), F.col("n_cwe"), F.col("total")))
@@ -239,7 +241,7 @@ def top_pmi(spark, sf):
 def feature_tests(spark, sf):
     """2x2 cells, odds ratio and exact p of every feature against the label."""
     x = long_features(spark, sf, "label").where("label is not null")
-    t = x.groupBy("feature").agg(*(F.count_if(h & p).alias(n) for n, h, p in (("a", F.col("has"), POSITIVE), ("b", F.col("has"), ~POSITIVE), ("c", ~F.col("has"), POSITIVE), ("d", ~F.col("has"), ~POSITIVE))))
+    t = x.groupBy("feature").agg(*(F.count_if(h & p).alias(n) for n, h, p in (("a", F.col("has"), positive()), ("b", F.col("has"), ~positive()), ("c", ~F.col("has"), positive()), ("d", ~F.col("has"), ~positive()))))
     cells = [F.col(c).cast("double") for c in "abcd"]
     return t.withColumns(S.odds_ratio(*(F.col(c) for c in "abcd"))).withColumn("p", F.round(D.column(D.fisher_two_sided)(*cells), 9))
 
@@ -289,7 +291,7 @@ def layer_rollup(spark, sf):
 
 @query("class_pattern_stats", with_samples(", c AS (SELECT cwe, repo, count(*) AS n FROM samples WHERE label = 1 GROUP BY ALL), r AS (SELECT cwe, string_agg(repo || ':' || n, ',' ORDER BY n DESC, repo) AS top_repos FROM (SELECT *, row_number() OVER (PARTITION BY cwe ORDER BY n DESC, repo) AS k FROM c) WHERE k <= 5 GROUP BY cwe) SELECT cwe, count(*) AS n, count(DISTINCT language) AS languages, count(DISTINCT severity) AS severities, top_repos FROM samples JOIN r USING (cwe) WHERE label = 1 GROUP BY ALL"))
 def class_pattern_stats(spark, sf):
-    x = samples(spark, sf).where(POSITIVE)
+    x = samples(spark, sf).where(positive())
     r = x.groupBy("cwe", "repo").agg(F.count("*").alias("n"))
     r = r.withColumn("k", F.row_number().over(W.partitionBy("cwe").orderBy(F.desc("n"), "repo"))).where("k <= 5")
     r = r.groupBy("cwe").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.concat("repo", F.lit(":"), F.col("n").cast("string")).alias("t")))), lambda s: s["t"]), ",").alias("top_repos"))
@@ -309,7 +311,7 @@ def mechanism_groups(spark, sf):
 @query("antipattern_tests", with_samples(f", c AS ({_CODE}), f AS (SELECT label, {ANTI_SQL} FROM c WHERE label IS NOT NULL), u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS pattern, label, {n} AS has FROM f" for n in ANTI) + f"), o AS (SELECT pattern, count_if(has AND label = 1) + 0.5::DOUBLE AS a, count_if(has AND label <> 1) + 0.5::DOUBLE AS b, count_if(NOT has AND label = 1) + 0.5::DOUBLE AS c, count_if(NOT has AND label <> 1) + 0.5::DOUBLE AS d FROM u GROUP BY pattern) SELECT pattern, {_ODDS} FROM o"))
 def antipattern_tests(spark, sf):
     x = flagged(spark, sf).where("label is not null").unpivot(["label"], ANTI, "pattern", "has")
-    t = x.groupBy("pattern").agg(*(F.count_if(h & p).alias(n) for n, h, p in (("a", F.col("has"), POSITIVE), ("b", F.col("has"), ~POSITIVE), ("c", ~F.col("has"), POSITIVE), ("d", ~F.col("has"), ~POSITIVE))))
+    t = x.groupBy("pattern").agg(*(F.count_if(h & p).alias(n) for n, h, p in (("a", F.col("has"), positive()), ("b", F.col("has"), ~positive()), ("c", ~F.col("has"), positive()), ("d", ~F.col("has"), ~positive()))))
     return t.select("pattern", *(e.alias(n) for n, e in S.odds_ratio(*(F.col(c) for c in "abcd")).items()))
 
 
@@ -318,13 +320,13 @@ def antipattern_tests(spark, sf):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    counts = labelled(spark, sf).groupBy("component").agg(F.count_if(POSITIVE).alias("positive"), F.count("*").alias("total"))
+    counts = labelled(spark, sf).groupBy("component").agg(F.count_if(positive()).alias("positive"), F.count("*").alias("total"))
     return S.bootstrap_proportions(counts, "component", "positive", "total")
 
 
 @query("bootstrap_delta_ci")
 def bootstrap_delta_ci(spark, sf):
-    return S.bootstrap_delta(long_metrics(spark, sf), "value", POSITIVE, "metric")
+    return S.bootstrap_delta(long_metrics(spark, sf), "value", positive(), "metric")
 
 
 _SCALED = ", ".join(f"round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS n_chars" for _ in range(1))

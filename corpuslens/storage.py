@@ -65,3 +65,14 @@ def release() -> None:
 
 
 atexit.register(release)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if a scan gives fewer; otherwise df as it is.
+
+    For scans with costly work per row: a table in one small file would keep all
+    but one core idle.  A large table has more partitions than cores and isn't
+    shuffled.  df must be a scan with filters and projections.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
