@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.storage import materialise, spread
 
 #: Queries of up to so many rows are broadcast in one piece; more are searched in blocks.
 QUERY_BLOCK = 2_000
@@ -47,11 +48,13 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     shuffled are those that can score.  A query's repeated terms count each.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(T.code_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    toks = docs.select(F.col(doc_id).alias("doc_id"), T.code_tokens(F.col(text)).alias("toks")).where(F.size("toks") > 0)
+    toks = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))).select("doc_id", T.code_tokens(F.col("_t")).alias("toks"))
+    toks = materialise(toks, "bm25-tokens").where(F.size("toks") > 0)  # texts are cut once and read three times
     stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_length"))
     vocabulary = q.select("term").distinct()
     tf = toks.select("doc_id", F.size("toks").alias("length"), F.explode("toks").alias("term")).join(F.broadcast(vocabulary) if _small(q) else vocabulary, "term", "left_semi")
-    tf = tf.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # one shuffle by document serves both the counts and the sums per query and document
+    tf = tf.repartition("doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).select("term", "avg_length", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weights = q.join(idf, "term")

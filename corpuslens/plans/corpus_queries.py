@@ -10,6 +10,7 @@ from corpuslens.functions import text as T
 from corpuslens.operators import corpus, diff
 from corpuslens.plans.catalogue import query
 from corpuslens.plans.tables import FEATURES_SQL, samples, table, with_samples
+from corpuslens.storage import spread
 
 #: Comments and white space out, in lower case, in SQL.
 _NORMAL = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '//[^\n]*', '', 'g'), '(?s)/\*.*?\*/', '', 'g'), '#[^\n]*', '', 'g'), '\s+', '', 'g'))"
@@ -216,7 +217,7 @@ TOKENS_SQL = "list_filter(regexp_split_to_array(lower(replace(regexp_replace(arr
 @query("tokens_top_terms", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 100")
 def tokens_top_terms(spark, sf):
     """The hundred most frequent code tokens; counts per document come first, so a frequent term is combined before the shuffle."""
-    x = table(spark, sf, "documents").select("doc_id", F.explode(T.code_tokens(F.col("text"))).alias("term"))
+    x = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.code_tokens(F.col("text"))).alias("term"))
     x = x.groupBy("term", "doc_id").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
     return x.orderBy(F.desc("n"), "term").limit(100)
 

@@ -8,6 +8,7 @@ from corpuslens.operators import retrieval as R
 from corpuslens.plans.catalogue import query
 from corpuslens.plans.corpus_queries import TOKENS_SQL
 from corpuslens.plans.tables import table
+from corpuslens.storage import spread
 
 K = 10
 
@@ -36,7 +37,7 @@ def topical(spark, sf, k: int = K):
     """Documents of the query's class by shared tokens: the class is an equality before the search."""
     from corpuslens.functions import text as T
 
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "cwe_id", F.array_distinct(T.code_tokens(F.col("text"))).alias("toks"))
+    docs = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "cwe_id", "text")).select("doc_id", "cwe_id", F.array_distinct(T.code_tokens(F.col("text"))).alias("toks"))
     items = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "cwe_id", F.array_distinct(T.code_tokens(F.col("item_text"))).alias("q"))
     if items.limit(R.QUERY_BLOCK + 1).count() <= R.QUERY_BLOCK:
         items = F.broadcast(items)
