@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
-from corpuslens.storage import materialise
+from corpuslens.storage import materialise, spread
 
 COUNTERS = 1 << 16
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +205,7 @@ def _exact(cfg: OverlapConfig):
 
 def _texts(df: DataFrame, side: int, id_col: str, fields: list[str]) -> DataFrame:
     x = df.select(F.lit(side).alias("side"), F.col(id_col).cast("string").alias("sample_id"), F.explode(F.array(*(F.col(f) for f in fields))).alias("text"))
-    return x.where("sample_id is not null and text is not null")
+    return spread(x.where("sample_id is not null and text is not null"))
 
 
 def cross_split_overlap(held_out: DataFrame, train: DataFrame, id_col: str, fields: list[str], cfg: OverlapConfig = OverlapConfig()) -> DataFrame:

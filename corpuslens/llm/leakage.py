@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
+from corpuslens.storage import spread
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -179,7 +180,7 @@ def leaked_items(items: DataFrame, item_id: str, item_text: str, docs: DataFrame
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).where("item_id is not null and t is not null").distinct()
     total = items.agg(F.sum(F.size(F.split("t", "\\s+")))).first()[0] or 0
     parts = max(1, -(-total // cfg.block_words))
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("t")).where("doc_id is not null and t is not null")
+    corpus = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("t")).where("doc_id is not null and t is not null"))
     kinds = {c: items.schema["item_id"].dataType if c == "item_id" else corpus.schema["doc_id"].dataType for c in ("item_id", "doc_id")}
     schema = f"item_id {kinds['item_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, window_pairs long, similarity double, exact boolean"
     hits = []

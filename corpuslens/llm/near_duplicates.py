@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
 from corpuslens.llm.components import connected_components
-from corpuslens.storage import materialise
+from corpuslens.storage import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -227,7 +227,7 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupC
     """Near-duplicates among the texts of each field on its own; see the module's notes."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("string").alias("sample_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("code_field"), F.col(f).alias("text")) for f in fields))).alias("x"))
-    rows = rows.select("x.code_field", "sample_id", "x.text").where("sample_id is not null and text is not null")
+    rows = spread(rows.select("x.code_field", "sample_id", "x.text").where("sample_id is not null and text is not null"))
     run, schema = _features(cfg)
     feats = materialise(rows.mapInArrow(run, schema), "near-features")
     members = feats.select("code_field", "sample_id", "gkey").distinct()

@@ -8,7 +8,7 @@ vowel are two).  Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau and ARI each
 give a school grade, the median is the text's grade, and `BANDS` turn it into
 levels 1 (easiest) to 5.
 
-Everything is Column expressions over one row: no shuffle, no Python, and
+Everything is Column expressions over one row: no shuffle (but for a table in fewer files than cores), no Python, and
 patterns whose repeats are bounded or anchored, so that the time is linear in
 the text's length even for a megabyte without a space.
 
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.storage import spread
+
 #: Grades up to which a text has level 1, 2, 3 and 4: early primary, primary, secondary, academic; above: specialist.
 BANDS = (3.0, 7.0, 13.0, 21.0)
 
@@ -67,7 +69,7 @@ def _apply(x: Column, rules) -> Column:
 def reading_levels(df: DataFrame, id_col: str, text_col: str, bands: tuple[float, ...] = BANDS) -> DataFrame:
     """(id_col, n_words, n_sentences, n_syllables, n_polysyllables, grade, level) of every row."""
     n = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
-    x = df.select(F.col(id_col), _apply(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")), CLEAN).alias("t"))
+    x = spread(df.select(id_col, text_col)).select(F.col(id_col), _apply(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")), CLEAN).alias("t"))
     x = x.select(id_col, n(F.col("t"), SENTENCE).alias("stops"), n(F.col("t"), HAN).alias("han"), F.translate("t", UPPER, LOWER).alias("t"))
     x = x.select(id_col, "stops", "han", F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z]+", "  "), F.lit(" ")).alias("t"))
     x = x.select(id_col, "stops", "han", n(F.col("t"), "[a-z]+").alias("latin"), F.length(F.regexp_replace("t", " ", "")).alias("letters"), _apply(F.col("t"), SYLLABLE).alias("t"))

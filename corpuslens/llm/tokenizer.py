@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.storage import spread
+
 #: The pre-token pattern of the public byte-level vocabulary, with white space spelt out as
 #: Unicode's property, since `regex` counts the four information separators as white space too.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -184,4 +186,4 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str | No
             flat = np.fromiter((i for x in ids for i in x), np.int32, count=int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "ids"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
