@@ -2,10 +2,10 @@
 
 Two texts are equal if they hold the same words, each equally often, in any
 order.  Progressive partition refinement finds the classes of equal texts: all
-records are partitioned by cheap invariants first (number and total length of
-their words), then classes with several members by their letter histogram, and
-only what is still together by the digest of the sorted words, the costly key.
-A record alone in its class is dropped at once and never pays for a later key.
+records are partitioned by the length of the text without formatting first,
+classes with several members then by the letter histogram, and only what is
+still together by the digest of the sorted words, the costly key.  A record
+alone in its class is dropped at once and never pays for the costly key.
 
 Cost and skew.  Every refinement shuffles fixed-size keys, not texts: members
 per class are counted with map-side partial aggregation (a class that a third
@@ -26,32 +26,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
-from corpuslens.storage import materialise
+from corpuslens.storage import materialise, spread
 
-WORD = "[A-Za-z0-9_]+"
-SEPARATORS = "[^A-Za-z0-9_]+"
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789_"
+#: Bytes of words in lower case; all others are deleted.
+_WORD_BYTES = bytes(c for c in range(128) if chr(c).isalnum() or c == ord("_"))
+_OTHERS = bytes(set(range(256)) - set(_WORD_BYTES))
+_FOLD = bytes(range(256)).lower()
+#: Up to so many class keys are broadcast (16 bytes each), more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def cheap_key(text: Column) -> Column:
-    """Number of words and their total length, in one long."""
-    n = F.regexp_count(text, F.lit(WORD)).cast("long")
-    size = F.length(F.regexp_replace(text, SEPARATORS, "")).cast("long")
-    return F.when(n > 0, n * (1 << 31) + size)
+def cheap_keys(text: str) -> tuple[int, int] | None:
+    """Length of the text without formatting and hash of its letter histogram; None without a word."""
+    stripped = text.encode("utf-8", "surrogatepass").translate(_FOLD, _OTHERS)
+    if not stripped:
+        return None
+    histogram = np.bincount(np.frombuffer(stripped, np.uint8), minlength=128)
+    return len(stripped), xxhash.xxh3_64_intdigest(histogram.tobytes()) - (1 << 63)
 
 
-def _histogram_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the hash of the counts of letters, digits and underscores."""
-    fold = np.zeros(256, np.int64)
-    for i, c in enumerate(ALPHABET):
-        fold[ord(c)] = fold[ord(c.upper())] = i + 1
+def _cheap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the cheap keys and drops texts without a word."""
     for b in batches:
-        out = [xxhash.xxh3_64_intdigest(np.bincount(fold[np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)], minlength=len(ALPHABET) + 1)[1:].tobytes()) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "k1", "k2"])
+        keys = [cheap_keys(t) for t in b.column(1).to_pylist()]
+        has = pa.array([k is not None for k in keys], pa.bool_())
+        k1, k2 = (pa.array([k[i] if k else None for k in keys], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), k1, k2, b.column(1)], names=["id", "k1", "k2", "text"]).filter(has)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +72,13 @@ def _several(df: DataFrame, *keys: str) -> DataFrame:
 def formatting_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(set_id, id, n_copies): each record of a set of two or more, the set's smallest id and its size."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    first = rows.withColumn("k1", cheap_key(F.col("text"))).where("k1 is not null")
-    k1 = _several(first.select("id", "k1"), "k1")
-    left = first.join(k1, "k1", "left_semi").select("id", "k1", "text")
-    second = materialise(left.mapInArrow(_histogram_keys, "id string, k1 long, k2 long").distinct(), "format-classes")
-    k2 = _several(second, "k1", "k2")
-    members = second.join(k2, ["k1", "k2"], "left_semi").select("id", "k1").distinct()
-    last = first.join(members, ["id", "k1"], "left_semi").select("id", "text").mapInArrow(_digests, "id string, digest binary").distinct()
+    keyed = spread(rows).mapInArrow(_cheap, "id string, k1 long, k2 long, text string")
+    cheap = materialise(keyed.select("id", "k1", "k2").distinct(), "format-classes")
+    left = cheap.join(_several(cheap, "k1"), "k1", "left_semi")
+    classes = materialise(_several(left, "k1", "k2"), "format-candidates")
+    if classes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        classes = F.broadcast(classes)
+    last = keyed.join(classes, ["k1", "k2"], "left_semi").select("id", "text").mapInArrow(_digests, "id string, digest binary").distinct()
     last = materialise(last, "format-digests")
     sets = last.groupBy("digest").agg(F.min("id").alias("set_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
     return last.join(sets, "digest").select("set_id", "id", "n_copies")
