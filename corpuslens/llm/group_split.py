@@ -110,7 +110,7 @@ def group_split(records: DataFrame, id_col: str, keys: dict[str, Column], label_
     placed = join_hot(one.select("id", "label", "anchor"), comp, "anchor", "id").withColumn("component", F.coalesce("component", "anchor"))
     placed = materialise(placed, "split-components")
 
-    labels = sorted(r[0] for r in placed.select("label").distinct().limit(MAX_LABELS + 1).collect())
+    labels = sorted(r[0] for r in placed.select("label").distinct().limit(MAX_LABELS + 1).collect()) or ["null"]
     if len(labels) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     cols = [f"n{i}" for i in range(len(labels))]
