@@ -1,26 +1,32 @@
 """Evaluation items whose text occurs in a training corpus.
 
-Both sides are cut into windows of `window` consecutive words, the length of
-the shortest passage that counts.  A window is the weighted set of its n-word
-shingles, a shingle weighing as much as its words have letters; its SimHash is
-the 64 signs of the weighted sum of its shingles' bits, computed for all
-windows of a batch from running sums.
-
-Index.  The item windows' fingerprints are stored by `radius` + 1 blocks of
-bits: two fingerprints within `radius` agree in at least one block (pigeonhole),
-so looking up every block finds all item windows within the radius; the
-complete Hamming distance is then checked.  Windows with the same words have
-distance 0, so every passage of `window` words or more is found with certainty.
-
-Verification.  Candidates are compared on their weighted shingle sets (weight
-of the shared shingles by weight of all); pairs of at least `similarity` count,
-and those with the same words in the same order are marked exact.
+Windows.  A passage is a window of `window` consecutive words, on both sides.
+Besides, an item as a whole is compared with the windows of a document that
+have as many words as the item, or with the document if that is shorter.  A
+window is the weighted set of its n-word shingles, a shingle weighing as much
+as its words have letters; the similarity of two windows is the weight of the
+shared shingles by the weight of all, and pairs of at least `similarity` count.
+
+Candidates, without loss.  The shared weight of a pair is at least `similarity`
+times the weight of either window.  So an inverted index of the items'
+shingles gives, per document and item, the weight of every window's shingles
+that the item has; windows below that bound are out.  Of each window left, the
+first shingles that weigh more than 1 - `similarity` of it are looked up (one
+of them must be shared) for the item's windows to compare.  The weights of all
+windows of a text come from running sums in which a shingle counts once.
+
+This departs from SimHash: at similarity 0.8 fingerprints of 64 bits lie some 8
+bits apart and the distance has no bound, so each radius loses pairs.
+
+Verification.  Candidates are compared on their shingle sets; pairs of
+passages with the same words in the same order are marked exact.
 
 Cost and skew.  The corpus is read once per block of items and never
 shuffled; only hits leave a task.  The items of one block are collected and
 shipped to the tasks, at most `block_words` words of them; more items are more
-blocks, so memory is bounded at any number of items.  Items that occur in very
-many documents only make more rows.
+blocks, so memory is bounded at any number of items.  Shingles that many items
+share give many hits; these are worked off some items at a time.  Items that
+occur in very many documents only make more rows.
 
 Edge cases.  Null texts and texts of fewer than `window` words give nothing,
 on either side.  Repeated rows give one row.  Empty tables give an empty
@@ -41,139 +47,185 @@ from pyspark.sql import functions as F
 from corpuslens.llm import text as X
 from corpuslens.storage import spread
 
-_BITS = np.arange(64, dtype=np.uint64)
-
-
 @dataclass(frozen=True)
 class LeakConfig:
-    """words: shingle length; window: words of a passage; radius: Hamming distance that is searched in full."""
+    """words: shingle length; window: words of a passage; hits: shingle hits of a document batch that are worked off at a time."""
 
     words: int = 5
     window: int = 12
-    radius: int = 3
     similarity: float = 0.8
     block_words: int = 200_000
+    hits: int = 500_000
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All members of the ranges lo to hi - 1, with the number of their range."""
+    n = hi - lo
+    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
+def _running(places: np.ndarray, prev: np.ndarray, weights: np.ndarray, per: int, count: int) -> np.ndarray:
+    """Weight of the distinct shingles among `places` in each window of `per` shingles, by its first place."""
+    first = np.maximum(np.maximum(prev + 1, places - per + 1), 0)
+    change = np.bincount(first, weights, count + 1) - np.bincount(places + 1, weights, count + 1)
+    return np.cumsum(change)[:count]
 
 
-@dataclass
 class Windows:
-    """Windows of a batch: fingerprint, text number, first word, and per window its shingles and their weights."""
-
-    fp: np.ndarray
-    owner: np.ndarray
-    start: np.ndarray
-    shingles: np.ndarray
-    weights: np.ndarray
-    flat: np.ndarray
-
-    def sets(self, at: np.ndarray, cfg: LeakConfig) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles and weights of the windows `at`; a shingle's repeats within a window weigh 0."""
-        places = self.start[at][:, None] + np.arange(cfg.window - cfg.words + 1)
-        s, w = self.shingles[places], self.weights[places]
-        order = np.argsort(s, axis=1, kind="stable")
-        s, w = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
-        w[:, 1:][s[:, 1:] == s[:, :-1]] = 0
-        return s, w
+    """Shingles of a batch of texts by place (the number of their first word), and the places where a window starts."""
+
+    def __init__(self, texts: list[str | None], cfg: LeakConfig) -> None:
+        lists, self.flat, self.offsets = X.batch_words(texts)
+        m = max(0, len(self.flat) - cfg.words + 1)
+        letters = np.fromiter((len(w) for ws in lists for w in ws), np.int64, count=len(self.flat))
+        h, self.weights = np.zeros(m, np.uint64), np.zeros(m, np.int64)
+        for i in range(cfg.words):
+            h += self.flat[i : i + m] * X._PLACE[i]
+            self.weights += letters[i : i + m]
+        self.shingles = X.mix(h)
+        self.owner = np.repeat(np.arange(len(lists)), np.diff(self.offsets))
+        long = (np.diff(self.offsets) >= cfg.window)[self.owner]
+        #: places whose shingle is of one text of at least `window` words
+        self.inside = long[:m] & (self.owner[:m] == self.owner[cfg.words - 1 : cfg.words - 1 + m])
+        self.starts = np.zeros(m, bool)
+        count = max(0, len(self.flat) - cfg.window + 1)
+        self.starts[:count] = self.owner[:count] == self.owner[cfg.window - 1 : cfg.window - 1 + count]
+        #: place of the shingle's occurrence before in the same text, else -1
+        self.prev = np.full(m, -1, np.int64)
+        order = np.argsort(self.shingles, kind="stable")
+        x, y = order[:-1], order[1:]
+        same = (self.shingles[x] == self.shingles[y]) & (self.owner[x] == self.owner[y])
+        self.prev[y[same]] = x[same]
+
+    def sets(self, at: np.ndarray, cfg: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, shingles and weights of the windows `at`; a shingle's repeats within a window weigh 0."""
+        places = at[:, None] + np.arange(cfg.window - cfg.words + 1)
+        return places, self.shingles[places], np.where(self.prev[places] < at[:, None], self.weights[places], 0)
 
     def same_words(self, at: np.ndarray, other: Windows, there: np.ndarray, cfg: LeakConfig) -> np.ndarray:
         span = np.arange(cfg.window)
-        return (self.flat[self.start[at][:, None] + span] == other.flat[other.start[there][:, None] + span]).all(axis=1)
-
-
-def windows(texts: list[str | None], cfg: LeakConfig) -> Windows:
-    lists, flat, offsets = X.batch_words(texts)
-    n, m = len(flat), len(flat) - cfg.words + 1
-    if n < cfg.window:
-        none = np.zeros(0, np.int64)
-        return Windows(np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64), none, flat)
-    letters = np.fromiter((len(w) for ws in lists for w in ws), np.int64, count=n)
-    h, weight = np.zeros(m, np.uint64), np.zeros(m, np.int64)
-    for i in range(cfg.words):
-        h += flat[i : i + m] * X._PLACE[i]
-        weight += letters[i : i + m]
-    h = X.mix(h)
-    # running sums over the shingles, a stretch at a time so that memory stays small
-    per = cfg.window - cfg.words + 1
-    count = n - cfg.window + 1
-    fp = np.empty(count, np.uint64)
-    for a in range(0, count, 16_384):
-        z = min(a + 16_384, count)
-        bits = ((h[a : z + per - 1, None] >> _BITS) & np.uint64(1)).astype(np.int32)
-        signed = np.zeros((len(bits) + 1, 64), np.int32)
-        np.cumsum((2 * bits - 1) * weight[a : z + per - 1, None].astype(np.int32), axis=0, out=signed[1:])
-        up = signed[per:] - signed[:-per] > 0
-        fp[a:z] = np.packbits(up, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
-    start = np.flatnonzero(owner[:count] == owner[cfg.window - 1 :])
-    return Windows(fp[start], owner[start], start, h, weight, flat)
-
-
-class BlockIndex:
-    """Item windows by each of radius + 1 blocks of bits of their fingerprints."""
+        return (self.flat[at[:, None] + span] == other.flat[there[:, None] + span]).all(axis=1)
+
+
+class ItemIndex:
+    """Inverted index: the items of each shingle, and the places of each shingle in each item."""
 
     def __init__(self, texts: list[str | None], cfg: LeakConfig) -> None:
-        self.cfg, self.items = cfg, windows(texts, cfg)
-        edges = np.linspace(0, 64, cfg.radius + 2).astype(int)
-        self.blocks = []
-        for a, z in zip(edges[:-1], edges[1:]):
-            value = self._block(self.items.fp, a, z)
-            order = np.argsort(value, kind="stable")
-            self.blocks.append((a, z, value[order], order))
-
-    @staticmethod
-    def _block(fp: np.ndarray, a: int, z: int) -> np.ndarray:
-        return (fp >> np.uint64(a)) & np.uint64((1 << int(z - a)) - 1)
-
-    def search(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (window, item window) within the radius."""
-        found = []
-        for a, z, value, order in self.blocks:
-            v = self._block(fp, a, z)
-            lo, hi = np.searchsorted(value, v, "left"), np.searchsorted(value, v, "right")
-            n = hi - lo
-            w = np.repeat(np.arange(len(fp)), n)
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            i = order[at]
-            near = np.bitwise_count(fp[w] ^ self.items.fp[i]) <= self.cfg.radius
-            found.append(w[near] * max(1, len(self.items.fp)) + i[near])
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return np.divmod(pair, max(1, len(self.items.fp)))
+        self.cfg, self.items, self.n = cfg, Windows(texts, cfg), len(texts)
+        x = self.items
+        places = np.flatnonzero(x.inside)
+        self.known, rank = np.unique(x.shingles[places], return_inverse=True)
+        key = rank * self.n + x.owner[places]
+        order = np.argsort(key, kind="stable")
+        self.places = places[order]
+        #: an entry is a shingle of an item: rank of the shingle * items + item
+        self.entries, first = np.unique(key[order], return_index=True)
+        self.bounds = np.append(first, len(places))
+        new = places[x.prev[places] < 0]
+        self.weight = np.bincount(x.owner[new], x.weights[new], self.n)
+
+    def passages(self, docs: Windows, rank: np.ndarray, place: np.ndarray, item: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Document, item, similarity and exactness of similar passages, given all hits of some items."""
+        cfg, m = self.cfg, len(docs.shingles)
+        per = cfg.window - cfg.words + 1
+        whole = _running(np.arange(m), docs.prev, docs.weights, per, m)
+        at, start = _ranges(np.maximum(np.maximum(docs.prev[place] + 1, place - per + 1), 0), place + 1)
+        ok = docs.starts[start]
+        key, inverse = np.unique(item[at[ok]] * m + start[ok], return_inverse=True)
+        item, start = np.divmod(key, max(1, m))
+        near = np.bincount(inverse, docs.weights[place[at[ok]]], len(key)) >= cfg.similarity * whole[start] - 1e-9
+        item, start = item[near], start[near]
+        for a in range(0, len(start), 4096):
+            t, s = item[a : a + 4096], start[a : a + 4096]
+            places, _, w = docs.sets(s, cfg)
+            ask = (w > 0) & (np.cumsum(w, axis=1) - w <= (1 - cfg.similarity) * w.sum(axis=1, keepdims=True) + 1e-9) & (rank[places] >= 0)
+            row, col = np.nonzero(ask)
+            wanted = rank[places[row, col]] * self.n + t[row]
+            e = np.minimum(np.searchsorted(self.entries, wanted), len(self.entries) - 1)
+            has = self.entries[e] == wanted
+            row, e = row[has], e[has]
+            r, q = _ranges(self.bounds[e], self.bounds[e + 1])
+            row, q = row[r], self.places[q]
+            r, y = _ranges(np.maximum(q - per + 1, 0), q + 1)
+            ok = self.items.starts[y] & (self.items.owner[y] == t[row[r]])
+            row, y = np.divmod(np.unique(row[r[ok]] * len(self.items.shingles) + y[ok]), len(self.items.shingles))
+            for b in range(0, len(row), 65_536):
+                i, d = y[b : b + 65_536], s[row[b : b + 65_536]]
+                (_, sa, wa), (_, sb, wb) = docs.sets(d, cfg), self.items.sets(i, cfg)
+                both = np.where((sa[:, :, None] == sb[:, None, :]) & (wb[:, None, :] > 0), wa[:, :, None], 0).sum(axis=(1, 2))
+                similar = both / np.maximum(1, wa.sum(axis=1) + wb.sum(axis=1) - both)
+                keep = similar >= cfg.similarity - 1e-12
+                d, i = d[keep], i[keep]
+                yield docs.owner[d], self.items.owner[i], similar[keep], docs.same_words(d, self.items, i, cfg)
+
+    def wholes(self, docs: Windows, place: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """Document, item, number of item-sized windows similar to the item and their best similarity, given all hits of some items."""
+        cfg = self.cfg
+        pair = docs.owner[place] * self.n + item
+        order = np.argsort(pair, kind="stable")
+        place, pair = place[order], pair[order]
+        pairs, first = np.unique(pair, return_index=True)
+        weight = np.add.reduceat(np.where(docs.prev[place] < 0, docs.weights[place], 0), first) if len(first) else first
+        for k in np.flatnonzero(weight >= cfg.similarity * self.weight[pairs % self.n] - 1e-9).tolist():
+            d, t = divmod(int(pairs[k]), self.n)
+            a, z = int(docs.offsets[d]), int(docs.offsets[d + 1]) - cfg.words + 1
+            per = min(z - a, int(self.items.offsets[t + 1] - self.items.offsets[t]) - cfg.words + 1)
+            prev, hit = np.maximum(docs.prev[a:z] - a, -1), place[first[k] : first[k + 1] if k + 1 < len(first) else None] - a
+            whole = _running(np.arange(z - a), prev, docs.weights[a:z], per, z - a)[: z - a - per + 1]
+            both = _running(hit, prev[hit], docs.weights[a:z][hit], per, z - a)[: z - a - per + 1]
+            similar = both / (whole + self.weight[t] - both)
+            if n := int((similar >= cfg.similarity - 1e-12).sum()):
+                yield d, t, n, float(similar.max())
+
+    def search(self, docs: Windows) -> dict[tuple[int, int], list]:
+        """By document and item: pairs of similar passages, best similarity, whether passages are the same, similar item-sized windows."""
+        best: dict[tuple[int, int], list] = {}
+        rank = np.full(len(docs.shingles), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, docs.shingles), len(self.known) - 1)
+            rank = np.where(docs.inside & (self.known[near] == docs.shingles), near, -1)
+        place = np.flatnonzero(rank >= 0)
+        at, e = _ranges(np.searchsorted(self.entries, rank[place] * self.n), np.searchsorted(self.entries, (rank[place] + 1) * self.n))
+        place, item = place[at], self.entries[e] % max(1, self.n)
+        order = np.argsort(item, kind="stable")
+        place, item = place[order], item[order]
+        a = 0
+        while a < len(item):  # all hits of an item stay together
+            z = int(np.searchsorted(item, item[min(a + self.cfg.hits, len(item)) - 1], "right"))
+            for found in self.passages(docs, rank, place[a:z], item[a:z]):
+                for d, t, s, e in zip(*(x.tolist() for x in found)):
+                    row = best.setdefault((d, t), [0, 0.0, False, 0])
+                    row[0] += 1
+                    row[1], row[2] = max(row[1], s), row[2] or e
+            for d, t, n, s in self.wholes(docs, place[a:z], item[a:z]):
+                row = best.setdefault((d, t), [0, 0.0, False, 0])
+                row[1], row[3] = max(row[1], s), n
+            a = z
+        return best
 
 
 def _scan(ids: list, texts: list[str | None], cfg: LeakConfig, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = BlockIndex(texts, cfg)
-        items = index.items
+        index = ItemIndex(texts, cfg)
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
-                docs = windows(b.column(1).to_pylist(), cfg)
-                w, i = index.search(docs.fp)
-                sa, wa = docs.sets(w, cfg)
-                sb, wb = items.sets(i, cfg)
-                both = np.where((sa[:, :, None] == sb[:, None, :]) & (wb[:, None, :] > 0), wa[:, :, None], 0).sum(axis=(1, 2))
-                similar = both / np.maximum(1, wa.sum(axis=1) + wb.sum(axis=1) - both)
-                exact = docs.same_words(w, items, i, cfg)
-                keep = similar >= cfg.similarity - 1e-12
-                best: dict[tuple[int, int], list] = {}
-                for d, t, s, e in zip(docs.owner[w[keep]].tolist(), items.owner[i[keep]].tolist(), similar[keep].tolist(), exact[keep].tolist()):
-                    row = best.setdefault((d, t), [0, 0.0, False])
-                    row[0] += 1
-                    row[1], row[2] = max(row[1], s), row[2] or e
+                best = index.search(Windows(b.column(1).to_pylist(), cfg))
                 if best:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[t] for _, t in best], id_type), b.column(0).take(pa.array([d for d, _ in best])), pa.array([r[0] for r in best.values()], pa.int64()), pa.array([r[1] for r in best.values()], pa.float64()), pa.array([r[2] for r in best.values()], pa.bool_())],
-                        names=["item_id", "doc_id", "window_pairs", "similarity", "exact"],
+                        [pa.array([ids[t] for _, t in best], id_type), b.column(0).take(pa.array([d for d, _ in best]))] + [pa.array([r[i] for r in best.values()], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.int64()))],
+                        names=["item_id", "doc_id", "window_pairs", "similarity", "exact", "item_windows"],
                     )
 
     return run
 
 
 def leaked_items(items: DataFrame, item_id: str, item_text: str, docs: DataFrame, doc_id: str, doc_text: str, cfg: LeakConfig = LeakConfig()) -> DataFrame:
-    """(item_id, doc_id, window_pairs, similarity, exact) of every item and document with similar windows.
+    """(item_id, doc_id, window_pairs, similarity, exact, item_windows) of every item and document with similar windows.
 
-    window_pairs counts the pairs of similar windows, similarity is the best of
-    them, exact tells whether `window` or more words agree in order.
+    window_pairs counts the pairs of similar passages, item_windows the
+    item-sized windows similar to the whole item, similarity is the best of
+    both, exact tells whether `window` or more words agree in order.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -182,9 +234,9 @@ def leaked_items(items: DataFrame, item_id: str, item_text: str, docs: DataFrame
     parts = max(1, -(-total // cfg.block_words))
     corpus = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("t")).where("doc_id is not null and t is not null"))
     kinds = {c: items.schema["item_id"].dataType if c == "item_id" else corpus.schema["doc_id"].dataType for c in ("item_id", "doc_id")}
-    schema = f"item_id {kinds['item_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, window_pairs long, similarity double, exact boolean"
+    schema = f"item_id {kinds['item_id'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, window_pairs long, similarity double, exact boolean, item_windows long"
     hits = []
     for n in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == n).collect()  # about block_words words
         hits.append(corpus.mapInArrow(_scan([r[0] for r in rows], [r[1] for r in rows], cfg, to_arrow_type(kinds["item_id"])), schema))
-    return reduce(DataFrame.union, hits).groupBy("item_id", "doc_id").agg(F.max("window_pairs").alias("window_pairs"), F.max("similarity").alias("similarity"), F.max("exact").alias("exact"))
+    return reduce(DataFrame.union, hits).groupBy("item_id", "doc_id").agg(F.max("window_pairs").alias("window_pairs"), F.max("similarity").alias("similarity"), F.max("exact").alias("exact"), F.max("item_windows").alias("item_windows"))

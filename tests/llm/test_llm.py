@@ -277,6 +277,40 @@ def test_leaks_equal_brute_force(spark, block_words):
     assert leaked_items(a.limit(0), "item_id", "t", b, "doc_id", "t").count() == 0
 
 
+@pytest.mark.parametrize("hits", [500_000, 50])
+def test_similar_windows_equal_brute_force(spark, hits):
+    weighted = lambda ws: {tuple(ws[i : i + 3]): sum(map(len, ws[i : i + 3])) for i in range(len(ws) - 2)}
+
+    def alike(a, b):
+        both = sum(w for s, w in a.items() if s in b)
+        return both / (sum(a.values()) + sum(b.values()) - both)
+
+    rng = random.Random(3)
+    vocab = [c * rng.randint(1, 12) for c in "abcdefghijklmnopqrstuvwxyz"]
+    items = [[rng.choice(vocab[: rng.choice([4, 26])]) for _ in range(rng.choice([11, 12, 13, 30, 60]))] for _ in range(25)] + [["x"] * 20]
+    docs = [["x"] * 14, [], items[3][:11]]
+    for i in range(60):
+        w = list(items[i % len(items)])
+        for _ in range(rng.choice([0, 1, 3])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1])] = [rng.choice(vocab)] * rng.choice([0, 1])
+        pad = rng.choice([0, 0, 30])
+        docs.append([rng.choice(vocab) for _ in range(pad)] + w + [rng.choice(vocab) for _ in range(pad)])
+    want = {}
+    for i, t in enumerate(items):
+        for d, u in enumerate(docs):
+            if min(len(t), len(u)) >= 12:
+                pairs = [alike(weighted(t[y : y + 12]), weighted(u[x : x + 12])) for y in range(len(t) - 11) for x in range(len(u) - 11)]
+                whole = [alike(weighted(t), weighted(u[x : x + len(t)])) for x in range(max(1, len(u) - len(t) + 1))]
+                n = [sum(s >= 0.8 - 1e-12 for s in x) for x in (pairs, whole)]
+                if any(n):
+                    want[i, d] = (n[0], n[1], round(max(pairs + whole), 9))
+    a = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, t string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, t string")
+    out = leaked_items(a, "item_id", "t", b, "doc_id", "t", LeakConfig(words=3, hits=hits)).collect()
+    assert {(r.item_id, r.doc_id): (r.window_pairs, r.item_windows, round(r.similarity, 9)) for r in out} == want
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------
 
 
