@@ -6,23 +6,22 @@ edit changes the chunks it touches and no others.  A chunk's digest hashes its
 words, its weight is their number.  The overlap fraction of two texts is the
 weight of their shared chunks divided by the larger text's weight.
 
-Candidates.  A pair whose overlap fraction is at least `overlap` shares a chunk
-among the rarest chunks that make up more than 1 - `overlap` of each text's
-weight (prefix filter).  Only those digests are joined across the splits.
-Rarity is read from a histogram of fixed size (65 536 counters over all chunks
-of both splits), which gives one global order at any corpus size: chunks that
-very many records share come last in every text, so a hot chunk that a third
-of all rows hold joins nothing unless a text consists of such chunks.  Sizes
-and the weight still to come prune further, both without loss.
-
-Verification.  The overlap fraction of every candidate is summed over all its
-chunks, and pairs of at least `overlap` are compared exactly on the sets of
-their n-word shingles.
-
-A pair of similarity 0.7 on 3-word shingles loses at most about a third of its
-words to edits; with chunks of 4 words its overlap fraction was 0.34 or more on
-all such pairs of the test data (default `overlap`: 0.25).  The exact bound
-depends on how edits fall on chunks, so it is a parameter.
+Candidates, without loss.  No overlap fraction is certain at a similarity: one
+edit ends the one or two chunks of a short text, and texts with the same
+shingles can differ in length and order (repeats) and share no chunk.  So a
+pair is a candidate by its shingles: with n distinct ones and the similarity t
+it shares one of the n - t n + 1 rarest of each text (prefix filter), and only
+those are joined across the splits.  Rarity is read from a histogram of fixed
+size (COUNTERS, over all distinct shingles of both splits), which gives one
+global order at any corpus size: shingles that very many records share come
+last in every text, so a hot shingle that a third of all rows hold joins
+nothing unless a text consists of such shingles.  Sizes and the shingles still
+to come prune further, and so do bitmaps of shingle parities, whose distance
+is no more than the number of shingles that are in only one of the two texts;
+all without loss.
+
+Verification.  Candidates are compared exactly on the sets of their n-word
+shingles; the overlap fraction of the pairs found is summed over all chunks.
 
 Edge cases.  Null texts and texts of fewer than n words match nothing by text;
 their records can still match by id.  Repeated rows count once.  Empty tables
@@ -43,21 +42,22 @@ from pyspark.sql import functions as F
 from corpuslens.llm import text as X
 from corpuslens.storage import materialise, spread
 
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
+#: bits of a bitmap of shingle parities
+BITS = 512
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class OverlapConfig:
-    """words, threshold: shingle length and least similarity; window, mean, longest: cutting of chunks."""
+    """words, threshold: shingle length and least similarity; window, mean, longest: cutting of chunks for the overlap fraction."""
 
     words: int = 5
     threshold: float = 0.8
     window: int = 2
     mean: int = 4
     longest: int = 15
-    overlap: float = 0.25
     #: up to so many keys of matched texts go to every task as a broadcast (16 bytes each), more are joined by shuffle
     broadcast_keys: int = 1_000_000
 
@@ -97,34 +97,40 @@ def _distinct_chunks(flat, offsets, cfg):
     return d[first], length[first], owner[first]
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(46)).astype(np.int64)
+
+
 def _histogram(cfg: OverlapConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            _, flat, offsets = X.batch_words(b.column(0).to_pylist())
-            d, _, _ = _distinct_chunks(flat, offsets, cfg)
-            total += np.bincount((d >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+            lists, flat, offsets = X.batch_words(b.column(0).to_pylist())
+            h, _ = X.distinct_per_text(*X.batch_shingles(flat, offsets, cfg.words), len(lists))
+            total += np.bincount(_bucket(h), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     return run, "bucket int, n long"
 
 
-def _features(cfg: OverlapConfig):
-    schema = "side int, sample_id string, k long, gkey binary, n_shingles int, digests binary, lengths binary"
+def _features(cfg: OverlapConfig, counts: np.ndarray):
+    """Number of distinct shingles of each text, the rarest of them in the global order, and the bitmap of all."""
+    schema = "side int, sample_id string, k long, gkey binary, n_shingles int, prefix binary, bitmap binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists, flat, offsets = X.batch_words(b.column(2).to_pylist())
             h, owner = X.batch_shingles(flat, offsets, cfg.words)
-            _, at = X.distinct_per_text(h, owner, len(lists))
+            h, at = X.distinct_per_text(h, owner, len(lists))
             n = np.diff(at)
-            d, length, owner = _distinct_chunks(flat, offsets, cfg)
-            to = np.zeros(len(lists) + 1, np.int64)
-            np.cumsum(np.bincount(owner, minlength=len(lists)), out=to[1:])
+            owner = np.repeat(np.arange(len(lists)), n)
+            h = h[np.lexsort((h, counts[_bucket(h)], owner))]
+            bit = np.bincount(owner * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=len(lists) * BITS) & 1
+            bitmap = np.packbits(bit.astype(np.uint8).reshape(-1, BITS), axis=1)
+            keep = n - np.ceil(cfg.threshold * n - 1e-9).astype(np.int64) + 1
             has = np.flatnonzero(n)
             keys = [xxhash.xxh3_128_digest(b"\0".join(lists[i])) for i in has]
-            d32, l8 = d, length.astype(np.uint8)
             take = pa.array(has)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -133,53 +139,59 @@ def _features(cfg: OverlapConfig):
                     pa.array([int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(n[has].astype(np.int32)),
-                    pa.array([d32[to[i] : to[i + 1]].tobytes() for i in has], pa.binary()),
-                    pa.array([l8[to[i] : to[i + 1]].tobytes() for i in has], pa.binary()),
+                    pa.array([h[at[i] : at[i] + keep[i]].tobytes() for i in has], pa.binary()),
+                    pa.array([bitmap[i].tobytes() for i in has], pa.binary()),
                 ],
-                names=["side", "sample_id", "k", "gkey", "n_shingles", "digests", "lengths"],
+                names=["side", "sample_id", "k", "gkey", "n_shingles", "prefix", "bitmap"],
             )
 
     return run, schema
 
 
-def _prefixes(cfg: OverlapConfig, counts: np.ndarray):
-    """Rows of the rarest chunks of each text; rest is the weight from this chunk on, in the global order."""
+def _prefixes():
+    """Rows of the rarest shingles of each text; rest is the number from this shingle on, in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest, k, rest, weight, n = [], [], [], [], []
-            for key, size, d, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                d, length = np.frombuffer(d, np.uint64), np.frombuffer(length, np.uint8).astype(np.int64)
-                order = np.lexsort((d, counts[(d >> np.uint64(48)).astype(np.int64)]))
-                d, length = d[order], length[order]
-                total = int(length.sum())
-                before = np.cumsum(length) - length
-                keep = int(np.searchsorted(before, (1 - cfg.overlap) * total + 1e-9, side="right"))
-                digest.append(d[:keep])
-                rest.append((total - before[:keep]))
-                k.append(np.full(keep, key))
-                weight.append(np.full(keep, total))
-                n.append(np.full(keep, size))
-            if digest:
-                cat = np.concatenate
-                yield pa.RecordBatch.from_arrays([pa.array(cat(digest).view(np.int64)), pa.array(cat(k)), pa.array(cat(rest).astype(np.int32)), pa.array(cat(weight).astype(np.int32)), pa.array(cat(n).astype(np.int32))], names=["digest", "k", "rest", "weight", "n"])
-
-    return run, "digest long, k long, rest int, weight int, n int"
-
-
-def _fraction(cfg: OverlapConfig):
+            if not b.num_rows:
+                continue
+            k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            size = np.array([len(x) for x in parts])
+            before = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            n = np.repeat(n, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(k, size)), pa.array((n - before).astype(np.int32)), pa.array(n.astype(np.int32))], names=["digest", "k", "rest", "n"])
+
+    return run, "digest long, k long, rest int, n int"
+
+
+def _parity(cfg: OverlapConfig):
+    """Pairs that the bitmaps don't rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for da, la, db, lb in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
-                da, db = np.frombuffer(da, np.uint64), np.frombuffer(db, np.uint64)
-                la, lb = np.frombuffer(la, np.uint8), np.frombuffer(lb, np.uint8)
-                shared = la[np.isin(da, db, assume_unique=True)].sum(dtype=np.int64)
-                out.append(shared / max(la.sum(dtype=np.int64), lb.sum(dtype=np.int64)))
-            f = pa.array(out, pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), f], names=["ka", "kb", "overlap"]).filter(pa.array([x >= cfg.overlap for x in out], pa.bool_()))
-
-    return run, "ka long, kb long, overlap double"
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = b.column(2).to_numpy() + b.column(3).to_numpy()
+            near = apart <= (1 - cfg.threshold) / (1 + cfg.threshold) * both + 1e-6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["ka", "kb"]).filter(pa.array(near))
+
+    return run, "ka long, kb long"
+
+
+def _fraction(a: tuple, b: tuple, cfg: OverlapConfig) -> list[float]:
+    """Overlap fractions of the chunks of texts in pairs; a and b are flat words and offsets."""
+    out, sides = [], []
+    for flat, offsets in (a, b):
+        d, length, owner = _distinct_chunks(flat, offsets, cfg)
+        sides.append((d, length, np.searchsorted(owner, np.arange(len(offsets)))))
+    (da, la, ta), (db, lb, tb) = sides
+    for i in range(len(ta) - 1):
+        x, y = slice(ta[i], ta[i + 1]), slice(tb[i], tb[i + 1])
+        out.append(int(la[x][np.isin(da[x], db[y], assume_unique=True)].sum()) / max(int(la[x].sum()), int(lb[y].sum())))
+    return out
 
 
 def _keys():
@@ -195,10 +207,12 @@ def _keys():
 def _exact(cfg: OverlapConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (X.shingle_sets(b.column(i).to_pylist(), cfg.words) for i in (3, 4))
-            sim = [X.jaccard(x, y) for x, y in zip(a, c)]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sim, pa.float64())], names=["gkey_a", "gkey_b", "overlap", "similarity"])
-            yield out.filter(pa.array([s >= cfg.threshold - 1e-12 for s in sim], pa.bool_()))
+            a, c = (X.shingle_sets(b.column(i).to_pylist(), cfg.words) for i in (2, 3))
+            sim = np.array([X.jaccard(x, y) for x, y in zip(a, c)], np.float64)
+            near = np.flatnonzero(sim >= cfg.threshold - 1e-12)
+            b = b.take(pa.array(near))
+            x, y = (X.batch_words(b.column(i).to_pylist())[1:] for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_fraction(x, y, cfg), pa.float64()), pa.array(sim[near])], names=["gkey_a", "gkey_b", "overlap", "similarity"])
 
     return run, "gkey_a binary, gkey_b binary, overlap double, similarity double"
 
@@ -220,19 +234,20 @@ def cross_split_overlap(held_out: DataFrame, train: DataFrame, id_col: str, fiel
     counts = np.zeros(COUNTERS, np.int64)
     for bucket, n in texts.select("text").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n")).collect():  # at most COUNTERS rows
         counts[bucket] = n
-    run, schema = _features(cfg)
+    run, schema = _features(cfg, counts)
     feats = materialise(texts.mapInArrow(run, schema), "overlap-features")
 
-    run, schema = _prefixes(cfg, counts)
-    pre = [feats.where(F.col("side") == s).select("k", "n_shingles", "digests", "lengths").mapInArrow(run, schema).distinct() for s in (0, 1)]
-    a, b = (p.select("digest", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "rest", "weight", "n"))) for p, x in zip(pre, "ab"))
-    close = (F.least("n_a", "n_b") >= cfg.threshold * F.greatest("n_a", "n_b")) & (F.least("rest_a", "rest_b") >= cfg.overlap * F.greatest("weight_a", "weight_b"))
+    run, schema = _prefixes()
+    one = [feats.where(F.col("side") == s).groupBy("k").agg(F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")) for s in (0, 1)]
+    a, b = (o.mapInArrow(run, schema).select("digest", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "rest", "n"))) for o, x in zip(one, "ab"))
+    shared = cfg.threshold / (1 + cfg.threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    close = (F.least("n_a", "n_b") >= cfg.threshold * F.greatest("n_a", "n_b") - 1e-6) & (F.least("rest_a", "rest_b") >= shared)
     pairs = a.join(b, "digest").where(close).select(F.col("k_a").alias("ka"), F.col("k_b").alias("kb")).distinct()
 
-    one = [feats.where(F.col("side") == s).groupBy("k").agg(F.first("digests").alias("d"), F.first("lengths").alias("l")) for s in (0, 1)]
-    run, schema = _fraction(cfg)
-    wide = pairs.join(one[0].toDF("ka", "da", "la"), "ka").join(one[1].toDF("kb", "db", "lb"), "kb")
-    pairs = materialise(wide.select("ka", "kb", "da", "la", "db", "lb").mapInArrow(run, schema), "overlap-pairs")
+    one = [feats.where(F.col("side") == s).groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bits")) for s in (0, 1)]
+    run, schema = _parity(cfg)
+    wide = pairs.join(one[0].toDF("ka", "na", "ba"), "ka").join(one[1].toDF("kb", "nb", "bb"), "kb")
+    pairs = materialise(wide.select("ka", "kb", "na", "nb", "ba", "bb").mapInArrow(run, schema), "overlap-pairs")
 
     need = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct()
     if need.limit(cfg.broadcast_keys + 1).count() <= cfg.broadcast_keys:
@@ -242,7 +257,7 @@ def cross_split_overlap(held_out: DataFrame, train: DataFrame, id_col: str, fiel
     found = found.repartition("k").groupBy("k", "gkey").agg(F.first("text").alias("text"))
     run, schema = _exact(cfg)
     wide = pairs.join(found.toDF("ka", "gkey_a", "ta"), "ka").join(found.toDF("kb", "gkey_b", "tb"), "kb")
-    links = wide.select("gkey_a", "gkey_b", "overlap", "ta", "tb").mapInArrow(run, schema)
+    links = wide.select("gkey_a", "gkey_b", "ta", "tb").mapInArrow(run, schema)
 
     left, right = (feats.where(F.col("side") == s).select(F.col("gkey").alias(f"gkey_{x}"), F.col("sample_id").alias(c)).distinct() for s, x, c in ((0, "a", "sample_id"), (1, "b", "train_id")))
     by_text = links.join(left, "gkey_a").join(right, "gkey_b").select("sample_id", "train_id", F.lit(False).alias("same_id"), "overlap", "similarity")

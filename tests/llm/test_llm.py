@@ -114,6 +114,26 @@ def test_cross_split_overlap_equals_brute_force(spark):
     assert cross_split_overlap(a.limit(0), b, "sample_id", ["a"]).count() == 0
 
 
+def test_cross_split_overlap_of_texts_that_share_no_chunk(spark):
+    rng = random.Random(11)
+    te, tr = [], []
+    for n in [3, 4, 8, 10, 12, 20, 30] * 40:
+        w = [rng.choice(VOCAB) for _ in range(n)]
+        te.append((f"s{len(te)}", " ".join(w)))
+        for _ in range(3):
+            u = list(w)
+            for at in rng.sample([0, n - 1, rng.randrange(n)], rng.choice([1, 1, 2])):
+                u[at:at] = [rng.choice(VOCAB)]
+            tr.append((f"t{len(tr)}", " ".join(u)))
+    te += [("same", "same " * 500), ("period", "u v w x y z " * 40), ("swap", "p q a b c p q d e f g p q")]
+    tr += [("short", "same " * 10), ("shifted", "z " + "u v w x y z " * 9), ("other", "p q d e f g p q a b c p q")]
+    a, b = (spark.createDataFrame(x, "sample_id string, a string") for x in (te, tr))
+    want = {(x, y) for x, s in te for y, t in tr if sim(s, t) >= 0.7}
+    assert {("same", "short"), ("period", "shifted"), ("swap", "other")} < want
+    got = cross_split_overlap(a, b, "sample_id", ["a"], OverlapConfig(words=3, threshold=0.7)).collect()
+    assert {(r.sample_id, r.train_id) for r in got} == want and min(r.overlap for r in got) == 0
+
+
 # ---- 5 ------------------------------------------------------------------------------------------------
 
 
