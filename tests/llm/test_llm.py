@@ -188,6 +188,23 @@ def test_invalid_python(code):
     assert check(code, "Python3")[0] in ("invalid", "truncated")
 
 
+LOOSE_PY = ["def f(a=1, b): pass", "def f(*): pass", "lambda a=1, b: 0", "f(**k, *a)", "f(x for x in y, 1)", "try:\n  pass\nexcept* A:\n  pass\nexcept B:\n  pass", "b'a' 'c'", "x = 1\ny = '\\x4'"]
+
+
+@pytest.mark.parametrize("code", LOOSE_PY)
+def test_python_that_only_the_grammar_takes(code):
+    from corpuslens.llm.python_syntax import PythonGrammar, tokens
+
+    assert PythonGrammar().parse(tokens(code)[0]).ok
+    verdict, token, line = check(code, "python")
+    assert verdict == "invalid" and 0 <= token < len(tokens(code)[0]) and 1 <= line <= code.count("\n") + 1
+
+
+@pytest.mark.parametrize("code", ["def f(a, b=1, *, c, **k): pass", "f(*a, **k)", "try:\n  pass\nexcept* A:\n  pass", "'a' 'c'", "y = '\\x41'"])
+def test_python_that_both_take(code):
+    assert check(code, "python") == ("ok", None, None)
+
+
 def test_python_grammar_agrees_with_python():
     import ast
     import sysconfig
