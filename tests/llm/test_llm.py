@@ -188,6 +188,16 @@ def test_invalid_python(code):
     assert check(code, "Python3")[0] in ("invalid", "truncated")
 
 
+@pytest.mark.parametrize("code", ['void f() { printf("x %d" n); }', 'int a = g(n "x");', 'void f() { printf("%" PRIu64 "\\n", x); }', "class A { public NAME: int x; };"])
+def test_c_that_lost_a_comma(code):
+    assert check(code, "c")[0] == "invalid"
+
+
+@pytest.mark.parametrize("code", ['auto s = "a"_s + R"(b)"sv;', '#define T(x) L##x\nconst wchar_t *s = T("a");', '#define J(x) x##_json\nauto j = J("a");', '#define FMT "d"\nvoid f() { printf("%" FMT "\\n", 1); }', 'const char *s = "a" "b" u8"c";', "class A { public: int x; };"])
+def test_c_literals_with_suffixes_and_macros(code):
+    assert check(code, "c++")[0] == "ok"
+
+
 LOOSE_PY = ["def f(a=1, b): pass", "def f(*): pass", "lambda a=1, b: 0", "f(**k, *a)", "f(x for x in y, 1)", "try:\n  pass\nexcept* A:\n  pass\nexcept B:\n  pass", "b'a' 'c'", "x = 1\ny = '\\x4'"]
 
 
