@@ -18,6 +18,7 @@ from corpuslens.llm.quota_sample import quota_sample
 from corpuslens.llm.syntax_check import check_syntax, syntax_rates
 from corpuslens.llm.term_frequency import marked, term_frequency
 from corpuslens.llm.tokenizer import encode_texts
+from corpuslens.storage import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -222,10 +223,14 @@ def p10_ratings(spark, sf_dir):
 # ---- 5: splits that keep repositories together ----------------------------------------------
 
 
+def _groups(spark, sf_dir, records, previous=None):
+    keys = {"repo": F.nullif(repo_name(F.col("repo")), F.lit("unknown"))}
+    return group_split(records, "sample_id", keys, "label", table(spark, sf_dir, "split_targets"), previous)
+
+
 def _split(spark, sf_dir):
     records = table(spark, sf_dir, "test_v2")
-    keys = {"repo": F.nullif(repo_name(F.col("repo")), F.lit("unknown"))}
-    return records, group_split(records, "sample_id", keys, "label", table(spark, sf_dir, "split_targets")).records.withColumnRenamed("id", "sample_id")
+    return records, _groups(spark, sf_dir, records).records.withColumnRenamed("id", "sample_id")
 
 
 @query
@@ -244,6 +249,20 @@ def p5_shares(spark, sf_dir):
     return by.withColumn("permille", F.round(share, 3)).join(F.broadcast(table(spark, sf_dir, "split_targets").limit(1000)), "split_name", "left")
 
 
+@query
+def p5_increment(spark, sf_dir):
+    """Records by status and split when the whole table follows its earlier half, whose component table is stored and read again."""
+    records = table(spark, sf_dir, "test_v2")
+    at = F.col("fetched_at").cast("timestamp").cast("double")
+    half = records.agg(F.percentile_approx(at, 0.5)).first()[0]
+    first = records.where(at <= F.lit(half).cast("double"))
+    previous = materialise(_groups(spark, sf_dir, first).components, "split-table")
+    splits = _groups(spark, sf_dir, records, previous).records
+    every = spark.createDataFrame([("kept",), ("new",), ("quarantined",)], "status string")
+    counts = splits.groupBy("status", "split_name").agg(F.count("*").alias("records"))
+    return every.join(counts, "status", "left").select("status", "split_name", F.coalesce("records", F.lit(0)).alias("records"))
+
+
 # ---- 6: files that do not parse ---------------------------------------------------------------
 
 

@@ -166,6 +166,13 @@ def test_group_split(spark):
     assert group_split(df.limit(0), "sample_id", keys, "label", _targets(spark)).records.count() == 0
 
 
+def test_split_of_a_later_delivery(spark, sf):
+    rows = Q.QUERIES["p5_increment"](spark, sf).collect()
+    n = {s: sum(r.records for r in rows if r.status == s) for s in ("kept", "new", "quarantined")}
+    ids = spark.read.parquet(f"{sf}/test_v2.parquet").where("sample_id is not null").select("sample_id").distinct().count()
+    assert sum(n.values()) == ids and n["kept"] >= ids // 3 and n["new"] > 0 and n["quarantined"] == 0
+
+
 # ---- 6 ------------------------------------------------------------------------------------------------
 
 GOOD_C = ["int f(int a) { return a ? g(&a, 3) : -1; }", "template <typename T> class A : public B<T> { public: explicit A(int x) : B<T>(x) {} ~A(); T operator[](int i) const { return v_[i]; } private: std::vector<std::vector<T>> v_; };", "#if 0\nbroken {{{\n#endif\nstatic const char *s = \"}\";", "#define N 3\n#define CALL(x) f(x)\nint a[N] = {1, 2, CALL(3)};", "struct P { int x, y; }; struct P p = {.x = 1, .y = 2};", "namespace a::b { enum class E : int { X = 1, Y }; using T = int; }", "void f() { for (auto &x : xs) if (auto i = m.find(x); i != m.end()) { s << i->second << std::endl; } do { } while (0); switch (x) { case 1: break; default: ; } try { g(); } catch (const E &e) { throw; } }", "int (*fp)(int, char) = 0; typedef unsigned long ulong_t; extern \"C\" { int q(void); }", "auto l = [&](int i) -> int { return i << 2 >> 1; };", ";;"]
