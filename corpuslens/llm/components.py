@@ -4,9 +4,12 @@ Every round lets each node take the smallest label in its neighbourhood and
 then follows the label's own label (pointer jumping), so that path lengths
 halve; the number of rounds grows with the logarithm of the longest path.
 Each round's labels are written to the shared folder, which keeps lineage
-short and survives lost executors.  Labels are aggregated with map-side
-minima, so a node with very many neighbours (a hub that a third of all rows
-share) is pre-reduced before the shuffle.
+short and survives lost executors.
+
+Skew.  A node with very many neighbours (a hub that a third of all edges have)
+and the label of a giant component are hot keys of the two joins of a round:
+both spread such keys over several tasks.  The minima after them are reduced
+in every task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.joins import hot_keys, join_hot
 from corpuslens.storage import materialise
 
 
@@ -26,11 +30,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     e = materialise(e.union(e.select("y", "x")).distinct(), "cc-edges")
     label = materialise(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "cc-labels-0")
+    hubs = materialise(hot_keys(e, "y"), "cc-hubs")
     for n in range(1, max_rounds + 1):
-        near = e.join(label.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
+        near = join_hot(e, label.withColumnRenamed("node", "y"), "y", "x", "inner", hubs).groupBy("x").agg(F.min("component").alias("m"))
         low = label.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("p"))
         jump = label.select(F.col("node").alias("p"), F.col("component").alias("pp"))
-        new = materialise(low.join(jump, "p", "left").select("node", "old", F.least("p", F.coalesce("pp", "p")).alias("component")), f"cc-labels-{n}")
+        new = materialise(join_hot(low, jump, "p", "node").select("node", "old", F.least("p", F.coalesce("pp", "p")).alias("component")), f"cc-labels-{n}")
         if not new.where("old <> component").limit(1).count():
             return new.select("node", "component")
         label = new.select("node", "component")

@@ -37,14 +37,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.llm.components import connected_components
+from corpuslens.llm.joins import join_hot
 from corpuslens.storage import materialise
 
 HEAVY = 1000
 BUCKETS = 1024
 MAX_LABELS = 64
-#: Key tables of up to so many rows are broadcast; larger ones are joined with salt.
-BROADCAST_KEYS = 500_000
-SALT = 16
 
 
 def repo_name(column: Column) -> Column:
@@ -55,19 +53,6 @@ def repo_name(column: Column) -> Column:
     return F.coalesce(F.nullif(x, F.lit("")), F.lit("unknown"))
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
-    """Left join of big with a table of distinct keys, safe where one key holds a large part of big.
-
-    A small table is broadcast after its size is checked; otherwise big is
-    spread over SALT parts of each key by the column `spread`, and small is
-    repeated for each part.
-    """
-    if small.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        return big.join(F.broadcast(small), key, "left")
-    salted = small.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALT)))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
-
-
 @dataclass
 class GroupSplit:
     """records: (id, component, split_name, status); components: (key, component, split_name), to be kept for the next run."""
