@@ -17,13 +17,16 @@ Verification.  Candidates whose complete distance exceeds `max_distance` are
 dropped (at J = 0.7 that is more than five standard deviations away), the rest
 are compared exactly on their shingle sets.
 
-Cost and skew.  Texts with the same words are one representative, found by
-aggregation.  Patterns are counted with map-side partial counts; patterns of
-one text vanish there, patterns of two texts give their pair from the minimum
-and the maximum at once, and only larger ones are looked up again.  A pattern
-with more than `block` texts is never gathered: its members are spread over
-blocks, and each pair of blocks is a task of bounded size that returns only
-pairs within the distance.  No pattern, partner or candidate is capped.
+Cost and skew.  Texts of a field with the same words in the same order are one
+row, found by aggregation before any pattern is made, so copies multiply
+nothing: patterns, blocks and candidates are of different texts, and records
+come back by membership.  Patterns are counted with map-side partial counts;
+patterns of one text vanish there, patterns of two texts give their pair from
+the minimum and the maximum at once, and only larger ones are looked up again.
+A pattern with more than `block` texts is never gathered: its members are
+spread over blocks, and each pair of blocks is a task of bounded size that
+returns only pairs within the distance, each from the first pattern that the
+two share.  No pattern, partner or candidate is capped.
 
 Edge cases.  Null texts and texts of fewer than n words have no shingles and
 take part in nothing.  Repeated rows count once.  Empty tables give empty
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +47,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
 from corpuslens.llm.components import connected_components
+from corpuslens.llm.joins import HOT_ROWS, is_small, join_hot
 from corpuslens.storage import materialise, spread
 
 
@@ -56,8 +61,8 @@ class NearDupConfig:
     width: int = 6
     max_distance: int = 46
     block: int = 256
-    #: up to so many keys of candidate texts are broadcast (24 bytes each), more are joined by shuffle
-    broadcast_keys: int = 1_000_000
+    #: up to so many keys of candidate texts are broadcast (some 100 bytes each in the JVM), more are joined by shuffle
+    broadcast_keys: int = 100_000
 
     @property
     def symbols(self) -> int:
@@ -84,7 +89,7 @@ def patterns(fp: np.ndarray, groups: np.ndarray, cfg: NearDupConfig) -> np.ndarr
     by = terms.reshape(len(fp), cfg.segments, cfg.width)
     total = by.sum(axis=2, dtype=np.uint64)
     left_out = _odd(cfg.symbols, 10).reshape(cfg.segments, cfg.width)
-    return X.mix(total[:, :, None] - by + left_out[None] + groups[:, None, None]).reshape(len(fp), -1)
+    return X.mix(total[:, :, None] - by + left_out[None] + groups[:, None, None]).reshape(len(fp), cfg.symbols)
 
 
 def _gkey(field: str, words: list[bytes]) -> bytes:
@@ -167,35 +172,38 @@ def _exact(cfg: NearDupConfig):
 
 
 def _block_pairs(cfg: NearDupConfig):
-    """Pairs within the distance between two blocks of one hot pattern, or within one block."""
+    """Pairs within the distance between two blocks of one hot pattern, or within one block; each pair at the first pattern it shares."""
 
-    def run(pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = np.array([xxhash.xxh3_64_intdigest(pdf.code_field.iloc[0])], np.uint64)
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         same = bool((pdf.i == pdf.j).all())
-        a = np.frombuffer(b"".join(left.fp), np.uint16).reshape(-1, cfg.symbols)
-        if same:
-            right = left
-        b = np.frombuffer(b"".join(right.fp), np.uint16).reshape(-1, cfg.symbols)
+        right = left if same else right
+        a, b = (np.frombuffer(b"".join(x.fp), np.uint16).reshape(-1, cfg.symbols) for x in (left, right))
+        pa_, pb = (patterns(x, np.repeat(group, len(x)), cfg) for x in (a, b))
+        this = np.uint64(int(pdf.pattern.iloc[0]) & 0xFFFFFFFFFFFFFFFF)
         ka, kb = left.k.to_numpy(), right.k.to_numpy()
-        out_a, out_b = [], []
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in range(len(a)):
             hit = np.flatnonzero((b != a[n]).sum(axis=1) <= cfg.max_distance)
-            hit = hit[kb[hit] != ka[n]] if not same else hit[kb[hit] > ka[n]]
+            hit = hit[kb[hit] > ka[n]] if same else hit[kb[hit] != ka[n]]
+            shared = pb[hit] == pa_[n]
+            hit = hit[pa_[n][shared.argmax(axis=1)] == this] if len(hit) else hit
             out_a.append(np.minimum(kb[hit], ka[n]))
             out_b.append(np.maximum(kb[hit], ka[n]))
-        import pandas as pd
-
-        return pd.DataFrame({"ka": np.concatenate([*out_a, np.zeros(0, np.int64)]), "kb": np.concatenate([*out_b, np.zeros(0, np.int64)])})
+        return pd.DataFrame({"ka": np.concatenate(out_a), "kb": np.concatenate(out_b)})
 
     return run, "ka long, kb long"
 
 
 @dataclass
 class NearDuplicates:
-    """members: gkey of every record and field; links: verified pairs of different texts (gkey_a < gkey_b)."""
+    """members: gkey of every record and field; texts: gkey of every different text; links: verified pairs of them (gkey_a < gkey_b); patterns: texts per shared pattern."""
 
     members: DataFrame
+    texts: DataFrame
     links: DataFrame
+    patterns: DataFrame
 
     def pairs(self) -> DataFrame:
         """(code_field, id_a, id_b): every pair of different records, id_a < id_b, copies included."""
@@ -216,11 +224,13 @@ class NearDuplicates:
         links = self.links.select(key("gkey_a").alias("a"), key("gkey_b").alias("b"))
         comp = connected_components(links, "a", "b")
         degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
+        # one row per text; records, of which one text may have very many, are joined once at the end
+        t = self.texts.select("code_field", key("gkey").alias("a"), "first_id").join(comp.withColumnRenamed("node", "a"), "a", "left").join(degree, "a", "left")
+        t = materialise(t.withColumn("component", F.coalesce("component", "a")), "near-classes")
+        names = t.groupBy("component").agg(F.min("first_id").alias("group_id"))
+        t = join_hot(t, names, "component", "a").select("a", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
         m = self.members.select("code_field", "sample_id", key("gkey").alias("a"))
-        m = m.join(comp.withColumnRenamed("node", "a"), "a", "left").join(degree, "a", "left")
-        m = m.withColumn("component", F.coalesce("component", "a"))
-        names = m.groupBy("code_field", "component").agg(F.min("sample_id").alias("group_id"))
-        return m.join(names, ["code_field", "component"]).select("code_field", "sample_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).distinct()
+        return join_hot(m, t, "a", "sample_id").select("code_field", "sample_id", "group_id", "n_links").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupConfig = NearDupConfig()) -> NearDuplicates:
@@ -231,16 +241,17 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupC
     run, schema = _features(cfg)
     feats = materialise(rows.mapInArrow(run, schema), "near-features")
     members = feats.select("code_field", "sample_id", "gkey").distinct()
-    reps = feats.select("code_field", "gkey", "k", "fp")
+    one = feats.groupBy("gkey").agg(F.first("code_field").alias("code_field"), F.first("k").alias("k"), F.first("fp").alias("fp"), F.min("sample_id").alias("first_id"))
+    one = materialise(one, "near-texts")
 
     run, schema = _pattern_rows(cfg)
-    pats = reps.select("code_field", "k", "fp").mapInArrow(run, schema)
-    # copies of a text give equal (pattern, k): minimum and maximum tell whether there are two texts at all
+    pats = one.select("code_field", "k", "fp").mapInArrow(run, schema)
     count = pats.groupBy("pattern").agg(F.count("*").alias("n"), F.min("k").alias("ka"), F.max("k").alias("kb")).where("ka <> kb")
     count = materialise(count, "near-patterns")
     pairs = count.where("n = 2").select("ka", "kb")
 
-    many = pats.join(count.where("n > 2").select("pattern", "n"), "pattern").select("pattern", "k", "n").distinct()
+    shared = count.where("n > 2").select("pattern", "n")
+    many = join_hot(pats, shared, "pattern", "k", "inner", shared.where(F.col("n") > HOT_ROWS).select("pattern")).select("pattern", "k", "n")
     cold = many.where(F.col("n") <= cfg.block).groupBy("pattern").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     cold = cold.select(F.posexplode("ks").alias("at", "ka"), "ks").select("ka", F.explode(F.slice("ks", F.col("at") + 2, F.size("ks"))).alias("kb"))
     pairs = pairs.union(cold)
@@ -248,25 +259,24 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupC
     if count.where(F.col("n") > cfg.block).limit(1).count():
         blocks = F.ceil(F.col("n") / F.lit(cfg.block)).cast("int")
         hot = many.where(F.col("n") > cfg.block).withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-        hot = hot.join(reps.select("k", "fp").dropDuplicates(["k"]), "k")
-        here = hot.select("pattern", "k", "fp", F.lit(0).alias("side"), "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-        there = hot.where("i > 0").select("pattern", "k", "fp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("x"), F.col("i").alias("j")).withColumnRenamed("x", "i")
+        hot = hot.join(one.select("k", "code_field", "fp"), "k")
+        keep = ("pattern", "code_field", "k", "fp")
+        here = hot.select(*keep, F.lit(0).alias("side"), "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+        there = hot.where("i > 0").select(*keep, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("i") - 1)).alias("x"), F.col("i").alias("j")).withColumnRenamed("x", "i")
         run, schema = _block_pairs(cfg)
         pairs = pairs.union(here.unionByName(there).groupBy("pattern", "i", "j").applyInPandas(run, schema))
     pairs = pairs.distinct()
 
-    one = reps.select("gkey", "k", "fp").groupBy("gkey").agg(F.first("k").alias("k"), F.first("fp").alias("fp"))
     a, b = (one.select(F.col("k").alias(f"k{x}"), F.col("gkey").alias(f"gkey_{x}"), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     run, schema = _close(cfg)
     close = pairs.join(a, "ka").join(b, "kb").select("gkey_a", "gkey_b", "fp_a", "fp_b").mapInArrow(run, schema)
     close = materialise(close, "near-candidates")
     # only texts that are in a candidate pair are read again for the exact comparison
     need = close.select(F.col("gkey_a").alias("gkey")).union(close.select("gkey_b")).distinct()
-    if need.limit(cfg.broadcast_keys + 1).count() <= cfg.broadcast_keys:
-        need = F.broadcast(need)
+    need = F.broadcast(need) if is_small(need, cfg.broadcast_keys) else need
     texts = rows.select("code_field", "text").mapInArrow(_keyed_texts, "gkey binary, text string")
     texts = texts.join(need, "gkey", "left_semi").groupBy("gkey").agg(F.first("text").alias("text"))
     run, schema = _exact(cfg)
     links = close.join(texts.toDF("gkey_a", "text_a"), "gkey_a").join(texts.toDF("gkey_b", "text_b"), "gkey_b")
     links = links.select("gkey_a", "gkey_b", "text_a", "text_b").mapInArrow(run, schema)
-    return NearDuplicates(members, materialise(links, "near-links"))
+    return NearDuplicates(members, one.select("code_field", "gkey", "first_id"), materialise(links, "near-links"), count.select("pattern", "n"))
