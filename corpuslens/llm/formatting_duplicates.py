@@ -7,11 +7,13 @@ classes with several members then by the letter histogram, and only what is
 still together by the digest of the sorted words, the costly key.  A record
 alone in its class is dropped at once and never pays for the costly key.
 
-Cost and skew.  Every refinement shuffles fixed-size keys, not texts: members
-per class are counted with map-side partial aggregation (a class that a third
-of all rows belong to is a few rows per task), and classes that stay are found
-by a semi-join on the class key.  The text itself is read again from the
-source for the next key, so no shuffle carries it.  The digest is 128 bits.
+Cost and skew.  Records are reduced to one row per (length, histogram) class
+with map-side partial aggregation (a class that a third of all rows belong to
+is one row per task), and the refinement by length and then by histogram goes
+on over that table of classes, never over records.  Classes that stay select
+the records whose text is read again for the costly key, so no shuffle carries
+a text; records meet class tables by joins that spread hot keys.  The digest
+is 128 bits.
 
 Edge cases.  Null and blank texts, texts without any word and records without
 an id belong to no set.  Rows that repeat an id and its text count once; an id
@@ -26,18 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
+from corpuslens.llm.joins import HOT_ROWS, join_hot
 from corpuslens.storage import materialise, spread
 
 #: Bytes of words in lower case; all others are deleted.
 _WORD_BYTES = bytes(c for c in range(128) if chr(c).isalnum() or c == ord("_"))
 _OTHERS = bytes(set(range(256)) - set(_WORD_BYTES))
 _FOLD = bytes(range(256)).lower()
-#: Up to so many class keys are broadcast (16 bytes each), more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
 
 
 def cheap_keys(text: str) -> tuple[int, int] | None:
@@ -64,24 +65,25 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "digest"])
 
 
-def _several(df: DataFrame, *keys: str) -> DataFrame:
-    """Classes with more than one id."""
-    return df.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(*keys)
-
-
 def formatting_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(set_id, id, n_copies): each record of a set of two or more, the set's smallest id and its size."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     keyed = spread(rows).mapInArrow(_cheap, "id string, k1 long, k2 long, text string")
-    cheap = materialise(keyed.select("id", "k1", "k2").distinct(), "format-classes")
-    left = cheap.join(_several(cheap, "k1"), "k1", "left_semi")
-    classes = materialise(_several(left, "k1", "k2"), "format-candidates")
-    if classes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        classes = F.broadcast(classes)
-    last = keyed.join(classes, ["k1", "k2"], "left_semi").select("id", "text").mapInArrow(_digests, "id string, digest binary").distinct()
-    last = materialise(last, "format-digests")
+    # one row per class; a class has several members if its smallest and largest id differ
+    classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    classes = materialise(classes, "format-classes")
+    lengths = classes.groupBy("k1").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("k1")
+    stay = join_hot(classes, lengths, "k1", "k2", "left_semi").where("lo <> hi").select(_pair("k1", "k2"), "n")
+    stay = materialise(stay, "format-candidates")
+    hot = stay.where(F.col("n") > HOT_ROWS).select("class_key")
+    last = join_hot(keyed.select("id", _pair("k1", "k2"), "text"), stay.select("class_key"), "class_key", "id", "left_semi", hot)
+    last = materialise(last.select("id", "text").mapInArrow(_digests, "id string, digest binary").distinct(), "format-digests")
     sets = last.groupBy("digest").agg(F.min("id").alias("set_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return last.join(sets, "digest").select("set_id", "id", "n_copies")
+    return join_hot(last, materialise(sets, "format-sets"), "digest", "id", "inner").select("set_id", "id", "n_copies")
+
+
+def _pair(a: str, b: str) -> Column:
+    return F.struct(a, b).alias("class_key")
 
 
 def collapsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
