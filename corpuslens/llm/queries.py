@@ -174,21 +174,21 @@ def p8_ids(spark, sf_dir):
 # ---- 9: leaked evaluation items ------------------------------------------------------------
 
 
-def _leaks(spark, sf_dir):
+def _leaks(spark, sf_dir, rest):
     items, docs = table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")
-    return leaked_items(items, "item_id", "item_text", docs, "doc_id", "text", LeakConfig(words=3))
+    return leaked_items(items, "item_id", "item_text", docs, "doc_id", "text", LeakConfig(words=3, rest=rest))
 
 
 @query
 def p9_found(spark, sf_dir):
-    """Items and the documents that hold 12 or more consecutive words of them."""
-    return _leaks(spark, sf_dir).where("exact").select("item_id", "doc_id")
+    """Items and the documents that hold 12 or more consecutive words of them: fingerprints within the radius, then the words."""
+    return _leaks(spark, sf_dir, False).where("exact").select("item_id", "doc_id")
 
 
 @query
 def p9_leaks(spark, sf_dir):
-    """Leaks with the number of similar windows, the best similarity and whether one is exact."""
-    return _leaks(spark, sf_dir)
+    """Leaks with the number of similar windows, the best similarity and whether one is exact, also beyond the radius of the fingerprints."""
+    return _leaks(spark, sf_dir, True)
 
 
 # ---- 10: reading level ----------------------------------------------------------------------
@@ -246,7 +246,7 @@ def p5_shares(spark, sf_dir):
     labels = records.where("sample_id is not null").groupBy("sample_id").agg(F.min("label").alias("label"))
     by = labels.join(splits, "sample_id").groupBy("split_name", "label").agg(F.count("*").alias("records"))
     share = F.col("records") * 1000 / F.sum("records").over(W.partitionBy("label"))
-    return by.withColumn("permille", F.round(share, 3)).join(F.broadcast(table(spark, sf_dir, "split_targets").limit(1000)), "split_name", "left")
+    return by.withColumn("permille", F.round(share, 3)).join(F.broadcast(table(spark, sf_dir, "split_targets")), "split_name", "left")
 
 
 @query
