@@ -251,16 +251,13 @@ def p5_shares(spark, sf_dir):
 
 @query
 def p5_increment(spark, sf_dir):
-    """Records by status and split when the whole table follows its earlier half, whose component table is stored and read again."""
+    """Every record with its split and status (kept, new or quarantined) when the whole table follows its earlier half, whose component table is stored and read again."""
     records = table(spark, sf_dir, "test_v2")
     at = F.col("fetched_at").cast("timestamp").cast("double")
     half = records.agg(F.percentile_approx(at, 0.5)).first()[0]
     first = records.where(at <= F.lit(half).cast("double"))
     previous = materialise(_groups(spark, sf_dir, first).components, "split-table")
-    splits = _groups(spark, sf_dir, records, previous).records
-    every = spark.createDataFrame([("kept",), ("new",), ("quarantined",)], "status string")
-    counts = splits.groupBy("status", "split_name").agg(F.count("*").alias("records"))
-    return every.join(counts, "status", "left").select("status", "split_name", F.coalesce("records", F.lit(0)).alias("records"))
+    return _groups(spark, sf_dir, records, previous).records.withColumnRenamed("id", "sample_id")
 
 
 # ---- 6: files that do not parse ---------------------------------------------------------------
