@@ -85,15 +85,50 @@ def spearman_p(rho: float, n: float) -> float:
     return 0.0 if abs(rho) >= 1 else t_two_sided(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
 
 
+def _tail(logp: Callable[[int], float], start: int, end: int, step: int) -> float:
+    """Sum of exp(logp) from start towards end, away from the mode, until terms vanish."""
+    total, k = 0.0, start
+    while (end - k) * step >= 0:
+        term = math.exp(logp(k))
+        total += term
+        if term < total * 1e-17:
+            break
+        k += step
+    return total
+
+
 def fisher_two_sided(a: float, b: float, c: float, d: float) -> float:
-    """Two-sided exact p of a 2x2 table: the tables at most as likely as this one."""
+    """Two-sided exact p of a 2x2 table: the tables at most as likely as this one.
+
+    Likelihood falls on both sides of the mode, so these are two tails; where
+    the far one begins is found by bisection, and a tail is summed until its
+    terms vanish, which takes a number of steps in the order of the standard
+    deviation whatever the margins.
+    """
     a, b, c, d = int(a), int(b), int(c), int(d)
     row, col, n = a + b, a + c, a + b + c + d
     lf = lambda x: math.lgamma(x + 1)
     base = lf(row) + lf(n - row) + lf(col) + lf(n - col) - lf(n)
     logp = lambda k: base - lf(k) - lf(row - k) - lf(col - k) - lf(n - row - col + k)
+    least, most = max(0, row + col - n), min(row, col)
+    mode = min(most, max(least, (row + 1) * (col + 1) // (n + 2)))
     here = logp(a) + 1e-7
-    return min(1.0, math.fsum(math.exp(p) for k in range(max(0, row + col - n), min(row, col) + 1) if (p := logp(k)) <= here))
+
+    def outer(end: int, step: int) -> int:
+        """The value nearest to the mode on this side that is at most as likely; beyond `end` if there is none."""
+        lo, hi = 0, (end - mode) * step + 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if mid > (end - mode) * step or logp(mode + mid * step) <= here:
+                hi = mid
+            else:
+                lo = mid + 1
+        return mode + lo * step
+
+    low, high = outer(least, -1), outer(most, 1)
+    if low == high == mode:
+        return 1.0
+    return min(1.0, _tail(logp, low, least, -1) + _tail(logp, high, most, 1))
 
 
 def probit(p: float) -> float:

@@ -8,6 +8,8 @@ never need a sort of all rows, and two groups are never compared pair by pair.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import distributions as D
+from corpuslens.operators.running import places, running_sum
+from corpuslens.storage import materialise
 
 #: Fixed value: the 97.5 % point of the normal distribution.
 Z975 = 1.959963984540054
@@ -27,8 +31,17 @@ def shares(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, mean, median and sample standard deviation (0 for one row) per group."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.median(value).alias("median"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("std"))
+    """n, mean, median and sample standard deviation (0 for one row) per group, from the counts of distinct values."""
+    f = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("m"))
+    f = running_sum(f, "m", ["value"], "ahead", by)
+    s = f.groupBy(*by).agg(F.sum("m").alias("n"), (F.sum(F.col("m") * F.col("value")) / F.sum("m")).alias("mean"))
+    x = f.join(s, list(by)) if by else f.join(F.broadcast(s))  # without groups s is one row
+    holds = lambda at: F.max(F.when((F.col("ahead") <= at) & (at < F.col("ahead") + F.col("m")), F.col("value")))
+    n = F.col("n")
+    d = F.col("value") - F.col("mean")
+    x = x.groupBy(*by, "n", "mean").agg(holds(F.floor((n - 1) / 2)).alias("lo"), holds(F.floor(n / 2)).alias("hi"), F.sum(F.col("m") * d * d).alias("q"))
+    std = F.when(n > 1, F.sqrt(F.col("q") / F.when(n > 1, n - 1))).otherwise(0.0)
+    return x.select(*by, "n", F.round("mean", 6).alias("mean"), ((F.col("lo") + F.col("hi")) / 2).alias("median"), F.round(std, 6).alias("std"))
 
 
 def wilson(positive: Column, total: Column) -> dict[str, Column]:
@@ -82,8 +95,8 @@ def frequencies(df: DataFrame, value: str, positive: Column, *by: str) -> DataFr
     """(by, value, n1, n0, rank): rows of both groups per distinct value and the average rank of the value."""
     x = df.where(F.col(value).isNotNull() & positive.isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count_if(positive).alias("n1"), F.count_if(~positive).alias("n0"))
     n = F.col("n1") + F.col("n0")
-    before = W.partitionBy(*by).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    return x.withColumn("rank", F.coalesce(F.sum(n).over(before), F.lit(0)) + (n + 1) / 2)
+    x = running_sum(x.withColumn("_n", n), "_n", ["value"], "_ahead", by)
+    return x.withColumn("rank", F.col("_ahead") + (n + 1) / 2).drop("_n", "_ahead")
 
 
 def rank_test(df: DataFrame, value: str, positive: Column, *by: str) -> DataFrame:
@@ -116,23 +129,24 @@ def cohens_d(df: DataFrame, value: str, positive: Column, *by: str) -> DataFrame
     return s.select(*by, "n1", "n0", d.alias("d")).withColumn("effect", label_of(F.col("d"), D_BANDS))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, rho, p): the correlation of average ranks, from the counts of distinct value pairs."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
+    """(by, n, rho, p): the correlation of average ranks per group, from the counts of distinct value pairs."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    pairs = materialise(pairs, "rank-pairs")
 
     def ranks(c: str) -> DataFrame:
-        v = pairs.groupBy(c).agg(F.sum("n").alias("m"))
-        before = W.partitionBy().orderBy(c).rowsBetween(W.unboundedPreceding, -1)
-        return v.select(c, (F.coalesce(F.sum("m").over(before), F.lit(0)) + (F.col("m") + 1) / 2).alias(f"r{c}"))
+        v = running_sum(pairs.groupBy(*by, c).agg(F.sum("n").alias("m")), "m", [c], "_ahead", by)
+        return v.select(*by, c, (F.col("_ahead") + (F.col("m") + 1) / 2).alias(f"r{c}"))
 
-    p = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
-    n = F.sum("n")
+    total = pairs.groupBy(*by).agg(F.sum("n").alias("t"))
+    p = pairs.join(ranks("x"), [*by, "x"]).join(ranks("y"), [*by, "y"])
+    p = p.join(total, list(by)) if by else p.join(F.broadcast(total))  # without groups total is one row
     w = lambda e: F.sum(F.col("n") * e)
     # centred at the mean rank (n + 1) / 2, which both sides share
-    mid = (F.sum("n").over(W.partitionBy()) + 1) / 2
+    mid = (F.col("t") + 1) / 2
     p = p.withColumns({"dx": F.col("rx") - mid, "dy": F.col("ry") - mid})
-    s = p.agg(n.alias("n"), w(F.col("dx") * F.col("dy")).alias("xy"), w(F.col("dx") * F.col("dx")).alias("xx"), w(F.col("dy") * F.col("dy")).alias("yy"))
-    return s.select("n", F.round(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), 6).alias("rho")).withColumn("p", D.column(D.spearman_p)(F.col("rho"), F.col("n").cast("double")))
+    s = p.groupBy(*by).agg(F.sum("n").alias("n"), w(F.col("dx") * F.col("dy")).alias("xy"), w(F.col("dx") * F.col("dx")).alias("xx"), w(F.col("dy") * F.col("dy")).alias("yy"))
+    return s.select(*by, "n", F.round(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), 6).alias("rho")).withColumn("p", D.column(D.spearman_p)(F.col("rho"), F.col("n").cast("double")))
 
 
 # ---- contingency tables ----------------------------------------------------------------------------
@@ -179,18 +193,26 @@ def two_proportions(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
 
 
 def diversity(counts: DataFrame, n: str, *by: str) -> DataFrame:
-    """classes, entropy (log2), its share of the maximum (1 for one class), Gini-Simpson index and Gini coefficient of counts, per group."""
-    total = F.sum(n).over(W.partitionBy(*by))
-    x = counts.where(F.col(n) > 0).withColumns({"p_": F.col(n) / total, "i_": F.row_number().over(W.partitionBy(*by).orderBy(n))})
-    x = x.groupBy(*by).agg(F.count("*").alias("classes"), F.sum(-F.col("p_") * F.log2("p_")).alias("h"), F.sum(F.col("p_") * F.col("p_")).alias("s"), F.sum(F.col("i_") * F.col(n)).alias("w"), F.sum(n).alias("t"))
+    """classes, entropy (log2), its share of the maximum (1 for one class), Gini-Simpson index and Gini coefficient of counts, per group.
+
+    Classes with equal counts are one row with their number, so the order that
+    the Gini coefficient needs is over distinct counts, of which N rows have at
+    most the square root of 2 N.
+    """
+    f = counts.where(F.col(n) > 0).groupBy(*by, F.col(n).alias("n")).agg(F.count("*").alias("m"))
+    whole, before = W.partitionBy(*by), W.partitionBy(*by).orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    f = f.withColumns({"t": F.sum(F.col("n") * F.col("m")).over(whole), "i": F.coalesce(F.sum("m").over(before), F.lit(0)) + (F.col("m") + 1) / 2})
+    p = F.col("n") / F.col("t")
+    x = f.groupBy(*by).agg(F.sum("m").alias("classes"), F.sum(-F.col("m") * p * F.log2(p)).alias("h"), F.sum(F.col("m") * p * p).alias("s"), F.sum(F.col("i") * F.col("m") * F.col("n")).alias("w"), F.max("t").alias("t"))
     k = F.col("classes")
     return x.select(*by, "classes", F.round("h", 6).alias("entropy"), F.round(F.when(k > 1, F.col("h") / F.log2(F.when(k > 1, k).otherwise(2))).otherwise(1.0), 6).alias("evenness"), F.round(1 - F.col("s"), 6).alias("gini_simpson"), F.round(2 * F.col("w") / (k * F.col("t")) - (k + 1) / k, 6).alias("gini"))
 
 
 def lorenz(counts: DataFrame, n: str, tie: str) -> DataFrame:
-    """Points (i, x, y) of the Lorenz curve with the origin."""
-    w, whole = W.orderBy(n, tie), W.partitionBy()
-    pts = counts.select(F.row_number().over(w).alias("i"), F.round(F.row_number().over(w) / F.count("*").over(whole), 6).alias("x"), F.round(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum(n).over(whole), 6).alias("y"))
+    """Points (i, x, y) of the Lorenz curve with the origin; counts has one row per class, whose `tie` is distinct."""
+    c = running_sum(places(counts, [n, tie], "i"), n, ["i"], "_ahead")
+    s = counts.agg(F.count("*").alias("_k"), F.sum(n).alias("_t"))
+    pts = c.join(F.broadcast(s)).select(F.col("i").cast("int").alias("i"), F.round(F.col("i") / F.col("_k"), 6).alias("x"), F.round((F.col("_ahead") + F.col(n)) / F.col("_t"), 6).alias("y"))  # s is one row
     return pts.unionByName(counts.sparkSession.createDataFrame([(0, 0.0, 0.0)], "i int, x double, y double"))
 
 
@@ -222,27 +244,90 @@ def benjamini_hochberg(tests: DataFrame, p: str, tie: str, *by: str) -> DataFram
 # ---- bootstrap -----------------------------------------------------------------------------------------
 
 
-def bootstrap_proportions(counts: DataFrame, key: str, positive: str, total: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Percentile interval of each group's proportion.
+def _normal_cdf(z: np.ndarray | float) -> float:
+    return NormalDist().cdf(float(z))
+
 
-    Resampling n rows of 0 and 1 draws Binomial(n, p) counts, so a group of any
-    size costs one vector of `resamples` numbers; counts has one row per group.
+def bca_bounds(draws: np.ndarray, point: float, acceleration: float, level: float = 0.95) -> tuple[float, float]:
+    """Bias-corrected and accelerated interval from resampled statistics.
+
+    Where no or every resample lies below the point (a proportion of 0 or 1) the
+    correction is not defined; the interval is the percentile one then.
+    """
+    below = float(np.mean(draws < point))
+    edges = ((1 - level) / 2, (1 + level) / 2)
+    if 0 < below < 1:
+        z0 = NormalDist().inv_cdf(below)
+        shifted = [z0 + NormalDist().inv_cdf(e) for e in edges]
+        edges = tuple(_normal_cdf(z0 + s / (1 - acceleration * s)) for s in shifted)
+    low, high = np.percentile(draws, [100 * e for e in edges])
+    return float(low), float(high)
+
+
+def proportion_acceleration(x: int, n: int) -> float:
+    """Jackknife acceleration of a proportion in closed form: leaving a row out gives one of two values."""
+    if n < 2 or not 0 < x < n:
+        return 0.0
+    one, zero = (x - 1) / (n - 1), x / (n - 1)
+    mean = (x * one + (n - x) * zero) / n
+    cubes = x * (mean - one) ** 3 + (n - x) * (mean - zero) ** 3
+    squares = x * (mean - one) ** 2 + (n - x) * (mean - zero) ** 2
+    return cubes / (6 * squares**1.5)
+
+
+def bootstrap_proportions(counts: DataFrame, key: str, positive: str, total: str, resamples: int = 10_000, seed: int = 42, method: str = "bca") -> DataFrame:
+    """Interval of each group's proportion, `bca` or `percentile`; zeros for an empty group.
+
+    Resampling n rows of 0 and 1 draws Binomial(n, p) counts, and the jackknife
+    has a closed form, so a group of any size costs one vector of `resamples`
+    numbers; counts has one row per group.
     """
+    if method not in ("bca", "percentile"):
+        raise ValueError("method must be bca or percentile")
 
     def run(batches):
         for pdf in batches:
             out = []
             for k, x, n in zip(pdf[key], pdf[positive], pdf[total]):
+                if not n:
+                    out.append((k, 0.0, 0.0, 0.0))
+                    continue
                 rng = np.random.default_rng([seed, *str(k).encode()])
-                draws = rng.binomial(int(n), x / n, resamples) / n if n else np.zeros(1)
-                out.append((k, x / n if n else 0.0, *np.percentile(draws, [2.5, 97.5])))
+                draws = rng.binomial(int(n), x / n, resamples) / n
+                low, high = bca_bounds(draws, x / n, proportion_acceleration(int(x), int(n))) if method == "bca" else map(float, np.percentile(draws, [2.5, 97.5]))
+                out.append((k, x / n, low, high))
             yield pd.DataFrame(out, columns=[key, "proportion", "boot_low", "boot_high"])
 
     kind = counts.schema[key].dataType.simpleString()
     return counts.select(key, positive, total).mapInPandas(run, f"{key} {kind}, proportion double, boot_low double, boot_high double")
 
 
-def bootstrap_delta(df: DataFrame, value: str, positive: Column, by: str, resamples: int = 2_000, seed: int = 42) -> DataFrame:
+def bootstrap_means(df: DataFrame, value: str, by: str, resamples: int = 10_000, seed: int = 42, method: str = "bca") -> DataFrame:
+    """Interval of each group's mean, `bca` or `percentile`.
+
+    Works on the frequency table: resampling rows draws multinomial counts over
+    the distinct values, and the jackknife has one value per distinct value, so
+    a task holds one row per distinct value of a group.
+    """
+    f = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("m"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        v, m = pdf.value.to_numpy(float), pdf.m.to_numpy(np.int64)
+        n, rng = int(m.sum()), np.random.default_rng([seed, *str(pdf[by].iloc[0]).encode()])
+        point, step = float((v * m).sum() / n), max(1, 4_000_000 // len(v))
+        draws = np.concatenate([rng.multinomial(n, m / n, min(step, resamples - a)) @ v / n for a in range(0, resamples, step)])
+        left = ((v * m).sum() - v) / max(1, n - 1)
+        d = (left * m).sum() / n - left
+        squares = float((m * d**2).sum())
+        low, high = bca_bounds(draws, point, float((m * d**3).sum()) / (6 * squares**1.5) if squares > 1e-300 else 0.0) if method == "bca" else map(float, np.percentile(draws, [2.5, 97.5]))
+        return pd.DataFrame([(pdf[by].iloc[0], point, low, high)], columns=[by, "mean", "boot_low", "boot_high"])
+
+    kind = f.schema[by].dataType.simpleString()
+    return f.groupBy(by).applyInPandas(run, f"{by} {kind}, mean double, boot_low double, boot_high double")
+
+
+def bootstrap_delta(df: DataFrame, value: str, positive: Column, by: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile interval of Cliff's delta per group, both sides resampled independently.
 
     Works on the frequency table: resampling rows draws multinomial counts over
@@ -260,8 +345,10 @@ def bootstrap_delta(df: DataFrame, value: str, positive: Column, by: str, resamp
 
         if not n1.sum() or not n0.sum():
             return pd.DataFrame([(pdf[by].iloc[0], 0.0, 0.0, 0.0)], columns=[by, "delta", "boot_low", "boot_high"])
-        a, b = rng.multinomial(int(n1.sum()), n1 / n1.sum(), resamples), rng.multinomial(int(n0.sum()), n0 / n0.sum(), resamples)
-        low, high = np.percentile(delta(a.astype(float), b.astype(float)), [2.5, 97.5])
+        step = max(1, 2_000_000 // len(pdf))  # resamples at a time, so that memory stays small
+        draw = lambda n, k: rng.multinomial(int(n.sum()), n / n.sum(), k).astype(float)
+        parts = [delta(draw(n1, k), draw(n0, k)) for k in (min(step, resamples - a) for a in range(0, resamples, step))]
+        low, high = np.percentile(np.concatenate(parts), [2.5, 97.5])
         return pd.DataFrame([(pdf[by].iloc[0], float(delta(n1[None], n0[None])[0]), low, high)], columns=[by, "delta", "boot_low", "boot_high"])
 
     f = frequencies(df, value, positive, by)

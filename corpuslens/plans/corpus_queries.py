@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import code as C
 from corpuslens.functions import text as T
 from corpuslens.operators import corpus, diff
+from corpuslens.operators.running import places
 from corpuslens.plans.catalogue import query
 from corpuslens.plans.tables import FEATURES_SQL, samples, table, with_samples
 from corpuslens.storage import spread
@@ -357,7 +357,7 @@ def advisory_join(spark, sf):
 @query("most_common_first_seen", with_samples("SELECT cwe, count(*) AS n, min(sample_id) AS first_seen, row_number() OVER (ORDER BY count(*) DESC, min(sample_id)) AS place FROM samples GROUP BY cwe"))
 def most_common_first_seen(spark, sf):
     x = samples(spark, sf).groupBy("cwe").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_seen"))
-    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "first_seen")))  # one row per class
+    return places(x, [F.desc("n"), "first_seen"])
 
 
 _ERR = "CASE event_type WHEN 'error' THEN 'runtime error: shift exponent' WHEN 'click' THEN 'ERROR: AddressSanitizer: heap-use-after-free on address' WHEN 'signup' THEN 'WARNING: ThreadSanitizer: data race (pid=1)' WHEN 'purchase' THEN 'undefined reference to main' ELSE 'done' END"

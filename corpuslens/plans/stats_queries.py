@@ -10,6 +10,7 @@ from corpuslens.functions import distributions as D
 from corpuslens.operators import corpus
 from corpuslens.operators import model as M
 from corpuslens.operators import stats as S
+from corpuslens.operators.running import places
 from corpuslens.plans.catalogue import query
 from corpuslens.plans.corpus_queries import _CODE, ANTI, ANTI_SQL, METRICS_SQL, flagged, long_features, measured
 from corpuslens.plans.tables import FEATURES_SQL, samples, table, with_samples
@@ -113,7 +114,30 @@ def class_profile_full_outer(spark, sf):
 @query("rank_by_count", with_samples("SELECT repo, n, row_number() OVER (ORDER BY n DESC, repo) AS place FROM (SELECT repo, count(*) AS n FROM samples GROUP BY repo)"))
 def rank_by_count(spark, sf):
     x = samples(spark, sf).groupBy("repo").agg(F.count("*").alias("n"))
-    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "repo")))  # one row per repository
+    return places(x, [F.desc("n"), "repo"])
+
+
+def _simpson(f: str, upper: str, steps: int = 2000) -> str:
+    """SQL of the integral of f, an expression in x, from 0 to upper."""
+    x = f"({upper}) * i / {steps}"
+    return f"(({upper}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)::DOUBLE * ({f.replace('$x', x)}))))"
+
+
+def normal_p_sql(z: str) -> str:
+    """SQL of the two-sided p of a normal statistic."""
+    return f"greatest(0.0::DOUBLE, 1 - 2 * 0.3989422804014327::DOUBLE * {_simpson('exp(-($x) * ($x) / 2)', f'least(abs({z}), 12.0::DOUBLE)')})"
+
+
+def chi2_p_sql(x: str, df: str) -> str:
+    """SQL of the upper tail of chi-square, by its density over the square root."""
+    density = f"2 * exp(({df} - 1) * ln($x + 1e-300) - ($x) * ($x) / 2 - {df} / 2.0::DOUBLE * ln(2.0::DOUBLE) - lgamma({df} / 2.0::DOUBLE))"
+    return f"greatest(0.0::DOUBLE, 1 - {_simpson(density, f'sqrt({x}::DOUBLE)')})"
+
+
+def rho_p_sql(rho: str, n: str) -> str:
+    """SQL of the two-sided p of a rank correlation by the t distribution, at the angle whose tangent is t / sqrt(df)."""
+    const = f"exp(lgamma(({n} - 1) / 2.0::DOUBLE) - lgamma(({n} - 2) / 2.0::DOUBLE)) / sqrt(pi())"
+    return f"greatest(0.0::DOUBLE, 1 - 2 * {const} * {_simpson(f'pow(cos($x), {n} - 3)', f'atan(abs({rho}) / sqrt(1 - {rho} * {rho}))')})"
 
 
 METRICS = ["loc", "sloc", "num_calls", "num_conditions", "num_pointers"]
@@ -146,9 +170,9 @@ def vargha_delaney(spark, sf):
     return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "a")
 
 
-@query("mann_whitney_u", with_samples(_FREQ + " SELECT metric, n1::BIGINT AS n1, n0::BIGINT AS n0, u, round(greatest(abs(u - n1 * n0 / 2) - 0.5::DOUBLE, 0.0::DOUBLE) / sqrt(var) * sign(u - n1 * n0 / 2), 6) AS z FROM t"))
+@query("mann_whitney_u", with_samples(_FREQ + f" SELECT metric, n1::BIGINT AS n1, n0::BIGINT AS n0, u, round(greatest(abs(u - n1 * n0 / 2) - 0.5::DOUBLE, 0.0::DOUBLE) / sqrt(var) * sign(u - n1 * n0 / 2), 6) AS z, round({normal_p_sql('round(greatest(abs(u - n1 * n0 / 2) - 0.5::DOUBLE, 0.0::DOUBLE) / sqrt(var), 6)')}, 7) AS p FROM t"))
 def mann_whitney_u(spark, sf):
-    return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "n1", "n0", "u", "z")
+    return S.rank_test(long_metrics(spark, sf), "value", positive(), "metric").select("metric", "n1", "n0", "u", "z", F.round("p", 7).alias("p"))
 
 
 @query("cohens_d", with_samples(_LONG + ", d AS (SELECT metric, count_if(label = 1) AS n1, count_if(label <> 1) AS n0, avg(value) FILTER (WHERE label = 1) AS m1, avg(value) FILTER (WHERE label <> 1) AS m0, var_samp(value) FILTER (WHERE label = 1) AS v1, var_samp(value) FILTER (WHERE label <> 1) AS v0 FROM u GROUP BY metric), e AS (SELECT *, coalesce(round((m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0), 6), 0) AS d FROM d) SELECT metric, n1, n0, d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM e"))
@@ -166,20 +190,18 @@ def _spearman_sql(x: str, y: str, source: str) -> str:
     return f"SELECT count(*) AS n, round(corr({'rx'}, {'ry'}), 6) AS rho FROM (SELECT {rank.format(x)} AS rx, {rank.format(y)} AS ry FROM {source})"
 
 
-@query("spearman_rho", with_samples(f", c AS ({_CODE}), m AS (SELECT {METRICS_SQL} FROM c) " + _spearman_sql("sloc", "num_calls", "m")))
+@query("spearman_rho", with_samples(f", c AS ({_CODE}), m AS (SELECT {METRICS_SQL} FROM c) " + f"SELECT *, round({rho_p_sql('rho', 'n')}, 7) AS p FROM (" + _spearman_sql("sloc", "num_calls", "m") + ")"))
 def spearman_rho(spark, sf):
-    return S.spearman(measured(spark, sf), "sloc", "num_calls").select("n", "rho")
+    return S.spearman(measured(spark, sf), "sloc", "num_calls").select("n", "rho", F.round("p", 7).alias("p"))
 
 
 @query("high_corr_pairs", with_samples(f", c AS ({_CODE}), m AS (SELECT {METRICS_SQL} FROM c), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, * FROM ({_spearman_sql(a, b, 'm')})" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]) + ") SELECT * FROM p WHERE abs(rho) > 0.7"))
 def high_corr_pairs(spark, sf):
-    x = measured(spark, sf)
-    out = None
-    for i, a in enumerate(METRICS):
-        for b in METRICS[i + 1 :]:
-            r = S.spearman(x, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
-            out = r if out is None else out.union(r)
-    return out.where(F.abs("rho") > 0.7)
+    """One scan: every row gives one row per pair of metrics, and the counts of value pairs are per pair."""
+    pairs = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]]
+    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("v"), F.col(b).alias("w")) for a, b in pairs))
+    x = measured(spark, sf).select(F.explode(cells).alias("c")).select("c.*")
+    return S.spearman(x, "v", "w", "a", "b").where(F.abs("rho") > 0.7).select("a", "b", "n", "rho")
 
 
 _CHI = """, n AS ({0}), g AS (SELECT a.a, b.b, coalesce(n, 0) AS n FROM (SELECT DISTINCT a FROM n) a CROSS JOIN (SELECT DISTINCT b FROM n) b LEFT JOIN n USING (a, b)),
@@ -193,9 +215,9 @@ def component_by_class(spark, sf):
     return S.contingency(corpus.rare_to(samples(spark, sf), "cwe", 10, "other_minor"), "component", "cwe")
 
 
-@query("chi2_independence", with_samples(_CHI.format(_AB) + " SELECT n, round(chi2, 6) AS chi2, (r - 1) * (k - 1) AS df FROM y"))
+@query("chi2_independence", with_samples(_CHI.format(_AB) + f" SELECT n, round(chi2, 6) AS chi2, (r - 1) * (k - 1) AS df, round({chi2_p_sql('round(chi2, 6)', '((r - 1) * (k - 1))')}, 7) AS p FROM y"))
 def chi2_independence(spark, sf):
-    return S.chi_square(component_by_class(spark, sf), "component", "cwe").select("n", "chi2", "df")
+    return S.chi_square(component_by_class(spark, sf), "component", "cwe").select("n", "chi2", "df", F.round("p", 7).alias("p"))
 
 
 @query("cramers_v", with_samples(_CHI.format(_AB) + " SELECT round(sqrt(greatest(chi2 / n - (k - 1) * (r - 1) / (n - 1), 0) / (least(r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)) - 1)), 6) AS v FROM y"))
@@ -203,9 +225,9 @@ def cramers_v(spark, sf):
     return S.chi_square(component_by_class(spark, sf), "component", "cwe").select("v")
 
 
-@query("chi2_gof", with_samples(", n AS (SELECT cwe, count(*) AS n FROM samples GROUP BY cwe) SELECT count(*) AS k, round(sum((n * n)::DOUBLE) * count(*) / sum(n) - sum(n), 6) AS chi2 FROM n"))
+@query("chi2_gof", with_samples(", n AS (SELECT cwe, count(*) AS n FROM samples GROUP BY cwe) SELECT *, round(" + chi2_p_sql("chi2", "(k - 1)") + ", 7) AS p FROM (SELECT count(*) AS k, round(sum((n * n)::DOUBLE) * count(*) / sum(n) - sum(n), 6) AS chi2 FROM n)"))
 def chi2_gof(spark, sf):
-    return S.goodness_of_fit(samples(spark, sf).groupBy("cwe").agg(F.count("*").alias("n")), "n").select("k", "chi2")
+    return S.goodness_of_fit(samples(spark, sf).groupBy("cwe").agg(F.count("*").alias("n")), "n").select("k", "chi2", F.round("p", 7).alias("p"))
 
 
 @query("entropy_diversity", with_samples(", n AS (SELECT component, cwe, count(*) AS n FROM samples GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY component) AS p, row_number() OVER (PARTITION BY component ORDER BY n) AS i FROM n) SELECT component, count(*) AS classes, round(sum(-p * log2(p)), 6) AS entropy, round(CASE WHEN count(*) > 1 THEN sum(-p * log2(p)) / log2(count(*)) ELSE 1 END, 6)::DOUBLE AS evenness, round(1 - sum(p * p), 6) AS gini_simpson, round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini FROM p GROUP BY component"))
@@ -253,6 +275,24 @@ lp AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lga
 h AS (SELECT feature, p AS here FROM lp WHERE i = a), pv AS (SELECT feature, least(1.0::DOUBLE, round(sum(exp(p)), 9)) AS p FROM lp JOIN h USING (feature) WHERE p <= here + 1e-7 GROUP BY feature)"""
 
 
+def exact_sql(key: str) -> str:
+    """Table expressions pv (key, p) of exact tests on the cells k (key, a, b, c, d)."""
+    return f"""
+lf AS (SELECT {key}, a, b, c, d, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS i FROM k),
+lp AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) AS p FROM lf),
+h AS (SELECT {key}, p AS here FROM lp WHERE i = a), pv AS (SELECT {key}, least(1.0::DOUBLE, round(sum(exp(p)), 9)) AS p FROM lp JOIN h USING ({key}) WHERE p <= here + 1e-7 GROUP BY {key})"""
+
+
+def holm_sql(key: str) -> str:
+    """Table expression r (key, p_holm) over pv (key, p)."""
+    return f"r AS (SELECT {key}, max(q) OVER (ORDER BY i) AS p_holm FROM (SELECT {key}, least(1.0::DOUBLE, p * (count(*) OVER () - row_number() OVER (ORDER BY p, {key}) + 1)) AS q, row_number() OVER (ORDER BY p, {key}) AS i FROM pv))"
+
+
+def bh_sql(key: str) -> str:
+    """Table expression r (key, p_bh) over pv (key, p)."""
+    return f"r AS (SELECT {key}, min(q) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p_bh FROM (SELECT {key}, least(1.0::DOUBLE, p * count(*) OVER () / row_number() OVER (ORDER BY p, {key})) AS q, row_number() OVER (ORDER BY p, {key}) AS i FROM pv))"
+
+
 @query("fisher_exact_p", with_samples(_CELLS + " SELECT feature, round(p, 7) AS p FROM pv"))
 def fisher_exact_p(spark, sf):
     return feature_tests(spark, sf).select("feature", F.round("p", 7).alias("p"))
@@ -324,20 +364,23 @@ def bootstrap_ci(spark, sf):
     return S.bootstrap_proportions(counts, "component", "positive", "total")
 
 
+@query("bootstrap_mean_ci")
+def bootstrap_mean_ci(spark, sf):
+    return S.bootstrap_means(long_metrics(spark, sf), "value", "metric")
+
+
 @query("bootstrap_delta_ci")
 def bootstrap_delta_ci(spark, sf):
     return S.bootstrap_delta(long_metrics(spark, sf), "value", positive(), "metric")
 
 
-_SCALED = ", ".join(f"round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS n_chars" for _ in range(1))
-
-
-@query("onehot_scaled", f"SELECT doc_id, {_SCALED}, (doc_kind = 'changelog')::INT::DOUBLE AS is_changelog, coalesce((doc_kind IS NULL)::INT, 0)::DOUBLE AS is_null FROM (SELECT doc_id, doc_kind, coalesce(n_chars, 0)::DOUBLE AS n_chars FROM documents) WHERE doc_kind IS NOT NULL")
+@query("onehot_scaled", f"WITH d AS (SELECT doc_id, doc_kind, coalesce(n_chars, 0)::DOUBLE AS n_chars FROM documents), k AS (SELECT doc_kind, row_number() OVER (ORDER BY doc_kind) AS i FROM (SELECT DISTINCT doc_kind FROM documents WHERE doc_kind IS NOT NULL)) SELECT doc_id, round((n_chars - (SELECT avg(n_chars) FROM d)) / (SELECT stddev_pop(n_chars) FROM d), 6) AS n_chars, k.doc_kind AS level, (d.doc_kind IS NOT NULL AND d.doc_kind = k.doc_kind)::INT::DOUBLE AS indicator FROM d CROSS JOIN k WHERE k.i > 1")
 def onehot_scaled(spark, sf):
-    d = table(spark, sf, "documents").where("doc_kind is not null").select("doc_id", "doc_kind", F.coalesce("n_chars", F.lit(0)).cast("double").alias("n_chars"))
+    """Scaled lengths and the indicators of every level but the first, one row per document and level."""
+    d = table(spark, sf, "documents").select("doc_id", "doc_kind", F.coalesce("n_chars", F.lit(0)).cast("double").alias("n_chars"))
     x, names = M.one_hot(M.standard_scale(d, ["n_chars"]), "doc_kind")
-    hot = F.col("`doc_kind=changelog`") if "doc_kind=changelog" in names else (F.col("doc_kind") == "changelog").cast("double")
-    return x.select("doc_id", F.round("n_chars", 6).alias("n_chars"), hot.alias("is_changelog"), F.lit(0.0).alias("is_null"))
+    cells = F.array(*(F.struct(F.lit(n.removeprefix("doc_kind=")).alias("level"), F.col(f"`{n}`").alias("indicator")) for n in names)).cast("array<struct<level: string, indicator: double>>")
+    return x.select("doc_id", F.round("n_chars", 6).alias("n_chars"), F.explode(cells).alias("c")).select("doc_id", "n_chars", "c.level", "c.indicator")
 
 
 @query("fold_assignment", with_samples("SELECT sample_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(sample_id), sample_id) - 1) % 5)::INT AS fold FROM samples WHERE label IS NOT NULL"))
