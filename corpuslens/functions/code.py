@@ -9,7 +9,7 @@ from corpuslens.functions import text as T
 
 # ---- fixed values: the patterns and word lists that define the features -------------------------
 
-CALL = r"[A-Za-z0-9_]+\s*\("
+CALL = r"\w+\s*\("
 CONDITION = r"\b(if|else|elif|switch|while|for)\b"
 POINTER = r"\*|->"
 ALLOCATION = r"\b(new|malloc|calloc)\b"
@@ -32,13 +32,13 @@ FEATURES = {
 
 #: Pairs (needed, excused by): a snippet has the anti-pattern if every needed pattern and no excuse occurs.
 ANTIPATTERNS = {
-    "missing_null_check": ([r"->|(\*[A-Za-z0-9_]+)"], r"(?i)if[^\n]*null|if[^\n]*ptr|nullptr|NULL\b|==\s*0\b"),
-    "missing_lock": ([r"[Cc]allback|_cb\b", r"this->|self\.|_[A-Za-z0-9_]+\s*="], r"(?i)mutex|lock_guard|unique_lock|scoped_lock"),
-    "raw_pointer_no_raii": ([r"\bnew\s+[A-Za-z0-9_]+"], r"shared_ptr|unique_ptr|make_shared|make_unique"),
-    "no_bounds_check": ([r"[A-Za-z0-9_]+\["], r"(?i)\.size\(\)|\.length|size\(|bounds|range|\.at\("),
+    "missing_null_check": ([r"->|(\*\w+)"], r"(?i)if[^\n]*null|if[^\n]*ptr|nullptr|NULL\b|==\s*0\b"),
+    "missing_lock": ([r"[Cc]allback|_cb\b", r"this->|self\.|_\w+\s*="], r"(?i)mutex|lock_guard|unique_lock|scoped_lock"),
+    "raw_pointer_no_raii": ([r"\bnew\s+\w+"], r"shared_ptr|unique_ptr|make_shared|make_unique"),
+    "no_bounds_check": ([r"\w+\["], r"(?i)\.size\(\)|\.length|size\(|bounds|range|\.at\("),
     "missing_input_validation": ([r"get_parameter|subscribe|msg->|msg\."], r"(?i)if\s*\([^\n]*[><]|check|valid|assert|throw|verify"),
 }
-BARE_CALL = r"^[a-zA-Z_][A-Za-z0-9_]*(::[A-Za-z0-9_]+)*\s*\("
+BARE_CALL = r"^[a-zA-Z_]\w*(::\w+)*\s*\("
 CONTROL = r"^(if|while|for|return|switch|else)"
 
 RISKY_C = {"strcpy": "CWE-119", "strcat": "CWE-119", "sprintf": "CWE-119", "gets": "CWE-119", "scanf": "CWE-119", "memcpy": "CWE-119", "system": "CWE-78", "popen": "CWE-78", "exec": "CWE-78", "malloc": "CWE-401", "new": "CWE-401", "free": "CWE-416", "delete": "CWE-416", "printf": "CWE-134", "fprintf": "CWE-134"}
@@ -139,6 +139,67 @@ def risky_calls(x: Column, language: Column) -> Column:
     return F.when(language == "Python", of(RISKY_PYTHON)).otherwise(of(RISKY_C))
 
 
+#: The lines of the text on a snippet's structure.
+STRUCTURE_LINES = {
+    "head": "=== Code Structure Analysis ===",
+    "risky": "\u26a0 DANGEROUS OPERATIONS FOUND:",
+    "none": "\u2713 No known dangerous function calls detected",
+    "parameters": "Parameters (potential external input): ",
+    "guards": "Defensive checks: ",
+    "no_guards": "NONE detected",
+    "null": "null check present",
+    "bounds": "bounds check present",
+    "loc": "Lines of code: ",
+    "end": "=== End Analysis ===",
+}
+
+
+def parameters(x: Column) -> Column:
+    """Parts of the first list in brackets of at most 200 characters, stripped, empty ones left out."""
+    return F.filter(F.transform(F.split(F.regexp_extract(x, r"\(([^)]{0,200})\)", 1), ","), T.strip), lambda p: p != "")
+
+
+def structure_text(x: Column, language: Column) -> Column:
+    """Text on a snippet's structure for a prompt: up to five risky calls, up to three parameters, the checks found and the lines."""
+    s, risky = STRUCTURE_LINES, risky_calls(x, language)
+    calls = F.transform(F.slice(risky, 1, 5), lambda r: F.concat(F.lit("  - "), r["function"], F.lit("() \u2192 risk: "), r["risk"]))
+    first = F.when(F.size(risky) > 0, F.concat_ws("\n", F.lit(s["risky"]), calls)).otherwise(s["none"])
+    given = F.slice(parameters(x), 1, 3)
+    params = F.when(F.size(given) > 0, F.concat(F.lit(s["parameters"]), F.array_join(given, ", ")))
+    guards = F.concat_ws(", ", F.when(any_of(x, NULL_CHECKS), s["null"]), F.when(any_of(x, BOUNDS_CHECKS), s["bounds"]))
+    checks = F.concat(F.lit(s["guards"]), F.when(guards == "", s["no_guards"]).otherwise(guards))
+    return F.concat_ws("\n", F.lit(s["head"]), first, params, checks, F.concat(F.lit(s["loc"]), T.line_count(x).cast("string")), F.lit(s["end"]))
+
+
+def compile_failed(log: Column, exit_code: Column) -> Column:
+    """Whether a build failed: an error in its log and an exit code other than 0, but no report of the address sanitizer."""
+    return F.coalesce(log.contains("error:") & (exit_code != 0) & ~log.contains("AddressSanitizer"), F.lit(False))
+
+
+#: Issues of the static analyser that count, issues that never do, and the classes they stand for.
+GATE_SEVERITIES = ("error", "warning")
+GATE_EXCLUDED = ("noValidConfiguration",)
+ISSUE_CLASSES = {
+    "nullPointer": "CWE-476",
+    "nullPointerRedundantCheck": "CWE-476",
+    "possibleNullPointerArithmetic": "CWE-476",
+    "bufferOverflow": "CWE-119",
+    "bufferAccessOutOfBounds": "CWE-119",
+    "outOfBounds": "CWE-119",
+    "stringLiteralWritten": "CWE-119",
+    "arrayIndexOutOfBounds": "CWE-119",
+    "memleakOnRealloc": "CWE-401",
+    "memleak": "CWE-401",
+    "resourceLeak": "CWE-401",
+    "doubleFree": "CWE-416",
+    "deallocDealloc": "CWE-416",
+    "danglingPointer": "CWE-416",
+    "integerOverflow": "CWE-190",
+    "signedIntegerOverflow": "CWE-190",
+    "unsignedLessThanZero": "CWE-190",
+}
+
+
 def sanitizer_flags(log: Column) -> dict[str, Column]:
     """Which sanitizers a log shows, and the first keyword in the order address, thread, undefined, leak."""
     keys = {"asan": first_of(log, ASAN), "tsan": first_of(log, TSAN), "ubsan": first_of(log, UBSAN), "leak": first_of(log, LEAKS)}

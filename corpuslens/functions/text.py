@@ -81,8 +81,26 @@ def json_object(x: Column) -> Column:
     return F.coalesce(valid(whole), valid(F.nullif(inner, F.lit(""))))
 
 
+#: The facets of a knowledge answer.
+FACETS = ("functional_semantics", "root_cause", "trigger_condition", "fix_pattern")
+
+
+def knowledge_facets(answer: Column) -> Column:
+    """Struct of the four facets of a model's answer, stripped; null unless all four are texts that aren't blank."""
+
+    def facets(v: Column) -> Column:
+        text = lambda f: F.when(F.schema_of_variant(v[f]) == "STRING", F.nullif(strip(F.try_variant_get(v[f], "$", "string")), F.lit("")))
+        return F.struct(*(text(f).alias(f) for f in FACETS))
+
+    # a lambda's argument is worked out once, however often it is used
+    parsed = F.transform(F.array(json_object(answer)), lambda j: F.from_json(j, ", ".join(f"{f} variant" for f in FACETS)))
+    whole = F.filter(F.transform(parsed, facets), lambda s: s[FACETS[0]].isNotNull() & s[FACETS[1]].isNotNull() & s[FACETS[2]].isNotNull() & s[FACETS[3]].isNotNull())
+    return F.get(whole, F.lit(0))
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within the bounds, null if it is null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def case_line(i: Column, cwe: Column, repo: Column, text: Column, width: int = 200) -> Column:

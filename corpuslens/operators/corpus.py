@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.operators.running import running_sum
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -69,23 +70,24 @@ def hash_split(df: DataFrame, group: str, train_share: int = 60, seed: str = "")
     return df.withColumn("part", F.when(T.bucket(F.col(group), seed) < train_share, "train").otherwise("test"))
 
 
-def greedy_split(df: DataFrame, group: str, classes: str, share: float = 0.6, most: int = 100_000) -> DataFrame:
-    """Groups in ascending order of size go to train until its share of rows is reached; a group with a class that train lacks goes there anyway.
+def greedy_split(df: DataFrame, group: str, classes: str, share: float = 0.6) -> DataFrame:
+    """(group, n, part): groups in ascending order of size go to train until its share of rows is reached; a group with a class that train lacks goes there anyway.
 
-    The fold is over the aggregated groups (one row each, at most `most`), ordered by size and name.
+    Until the share is reached train has all groups before, so a group is in
+    train if the rows before it are fewer than the share, or if it is the first
+    group in the order (size, name) that has one of its classes: a running sum
+    over the groups and a minimum per class, without a fold.  Null classes are
+    no class, a null group is a group.
     """
-    groups = df.groupBy(group).agg(F.count("*").alias("n"), F.collect_set(classes).alias("classes"))
-    rows = groups.orderBy("n", group).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} groups; use hash_split")
-    total, have, seen, out = sum(r["n"] for r in rows), 0, set(), []
-    for r in rows:
-        train = have < share * total or bool(set(r["classes"]) - seen)
-        if train:
-            have += r["n"]
-            seen |= set(r["classes"])
-        out.append((r[group], r["n"], "train" if train else "test"))
-    return df.sparkSession.createDataFrame(out, f"{group} string, n long, part string")
+    n = df.groupBy(group).agg(F.count("*").alias("n"))
+    groups = running_sum(n, "n", ["n", group], "_ahead")
+    total = n.agg(F.sum("n").alias("_total"))
+    pairs = df.where(F.col(classes).isNotNull()).select(F.col(group).alias("_g"), F.col(classes).alias("_c")).distinct()
+    pairs = pairs.join(n, F.col(group).eqNullSafe(F.col("_g")))
+    first = pairs.groupBy("_c").agg(F.min(F.struct("n", group)).alias("m")).select(F.col(f"m.{group}").alias("_g"), F.lit(True).alias("_first")).distinct()
+    x = groups.join(first, F.col(group).eqNullSafe(F.col("_g")), "left").join(F.broadcast(total))  # total is one row
+    train = (F.col("_ahead") < share * F.col("_total")) | F.col("_first").isNotNull()
+    return x.select(group, "n", F.when(train, "train").otherwise("test").alias("part"))
 
 
 def sample_per_class(df: DataFrame, group: str, key: str, most: int, seed: str = "42") -> DataFrame:

@@ -46,6 +46,24 @@ def explode_pairs(df: DataFrame, patch: str, least: int = 8, most: int = 80) ->
     return x.where(n("before").between(least, most) & n("after").between(least, most) & (F.col("before") != F.col("after")))
 
 
+COMMIT_SCHEMA = "repo string, sha string, commit struct<message: string>, files array<struct<filename: string, patch: string>>"
+
+
+def commit_files(commits: DataFrame, denied: tuple[str, ...] = ()) -> DataFrame:
+    """(repo, sha, message, filename, language, patch) of the source files of commits with a security message.
+
+    commits: COMMIT_SCHEMA, as the service gives them; repeated commits count
+    once, repositories in `denied` are left out, files without a patch or in
+    another language too.
+    """
+    from corpuslens.functions import code as C
+
+    x = commits.where(C.security_message(F.col("commit.message")) & ~F.coalesce(F.col("repo").isin(*denied), F.lit(False)))
+    x = x.dropDuplicates(["repo", "sha"]).select("repo", "sha", F.col("commit.message").alias("message"), F.explode("files").alias("f"))
+    x = x.select("repo", "sha", "message", "f.filename", C.language_of_path(F.lower("f.filename")).alias("language"), "f.patch")
+    return x.where("language is not null and patch <> ''")
+
+
 def labelled(pairs: DataFrame) -> DataFrame:
     """Two rows per pair: the code before with label 1 and the code after with label 0."""
     rest = [c for c in pairs.columns if c not in ("before", "after")]

@@ -35,6 +35,13 @@ def deltas(scores: DataFrame, order: str, score: str) -> DataFrame:
     return scores.withColumn("delta", F.round(F.col(score) - before, 4))
 
 
+def elimination_by_class(df: DataFrame, cls: str, eliminated: Column) -> DataFrame:
+    """(cwe, total, eliminated, rate) of repairs per class; a null class is `unknown`, a null outcome is no elimination."""
+    x = df.groupBy(F.coalesce(F.col(cls), F.lit("unknown")).alias("cwe"))
+    x = x.agg(F.count("*").alias("total"), F.count_if(F.coalesce(eliminated, F.lit(False))).alias("eliminated"))
+    return x.withColumn("rate", F.round(F.col("eliminated") / F.col("total"), 4))
+
+
 def repair_summary(df: DataFrame, *by: str) -> DataFrame:
     """Rates of compiled, fixed and approved repairs and the mean similarity where there is one."""
     rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)

@@ -54,6 +54,13 @@ def logistic(df: DataFrame, columns: list[str], label: str, c: float = 1.0):
     return LogisticRegression(labelCol="y", regParam=1.0 / (c * max(1, x.count())), elasticNetParam=0.0, standardization=False, maxIter=100).fit(x)
 
 
+def ranked_coefficients(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(feature, coef, rank) of logistic regression by the absolute value of the coefficient; columns should be scaled."""
+    model = logistic(df, columns, label)
+    pairs = [] if model is None else sorted(zip(columns, model.coefficients.toArray()), key=lambda r: (-abs(r[1]), r[0]))
+    return df.sparkSession.createDataFrame([(f, float(c), i) for i, (f, c) in enumerate(pairs, 1)], "feature string, coef double, rank int")
+
+
 def wald(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(feature, coef, se, z, p) by the Fisher information, a k x k matrix that is summed in the tasks."""
     spark = df.sparkSession

@@ -114,7 +114,7 @@ def hash_group_split(spark, sf):
     return corpus.hash_split(samples(spark, sf), "repo").groupBy("repo", "part").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positive"))
 
 
-@query("greedy_group_split")
+@query("greedy_group_split", with_samples(", g AS (SELECT repo, count(*) AS n FROM samples GROUP BY repo), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n, repo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, sum(n) OVER () AS total, row_number() OVER (ORDER BY n, repo) AS i FROM g), f AS (SELECT DISTINCT min(i) AS i FROM o JOIN (SELECT DISTINCT repo, cwe FROM samples) USING (repo) GROUP BY cwe) SELECT repo, n, CASE WHEN ahead < 0.6::DOUBLE * total OR i IN (SELECT i FROM f) THEN 'train' ELSE 'test' END AS part FROM o"))
 def greedy_group_split(spark, sf):
     return corpus.greedy_split(samples(spark, sf), "repo", "cwe")
 

@@ -8,7 +8,6 @@ from corpuslens.operators import retrieval as R
 from corpuslens.plans.catalogue import query
 from corpuslens.plans.corpus_queries import TOKENS_SQL
 from corpuslens.plans.tables import table
-from corpuslens.storage import spread
 
 K = 10
 
@@ -35,14 +34,7 @@ def lexical(spark, sf, k: int = K):
 
 def topical(spark, sf, k: int = K):
     """Documents of the query's class by shared tokens: the class is an equality before the search."""
-    from corpuslens.functions import text as T
-
-    docs = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "cwe_id", "text")).select("doc_id", "cwe_id", F.array_distinct(T.code_tokens(F.col("text"))).alias("toks"))
-    items = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "cwe_id", F.array_distinct(T.code_tokens(F.col("item_text"))).alias("q"))
-    if items.limit(R.QUERY_BLOCK + 1).count() <= R.QUERY_BLOCK:
-        items = F.broadcast(items)
-    hits = docs.join(items, "cwe_id").select("query_id", "doc_id", F.size(F.array_intersect("toks", "q")).cast("double").alias("score"))
-    return R.top_k(hits.where("score > 0"), ["query_id"], "score", "doc_id", k)
+    return R.shared_terms(table(spark, sf, "documents").where("text is not null"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text", k, "cwe_id")
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lex")
@@ -84,6 +76,18 @@ def dense_topk_filtered(spark, sf):
     return _dense(spark, sf, "label")
 
 
+CELLS = 16
+
+
+@query("dense_ann_topk")
+def dense_ann_topk(spark, sf):
+    """Approximate search: the same query set against the nearest cells only; the recall is measured in the tests."""
+    e = table(spark, sf, "embeddings")
+    centres, q = R.fit_cells(e, "embedding", CELLS), e.where("vec_id % 100 = 0")
+    near = R.assign_cells(e, "embedding", centres)
+    return R.dense_ann(near, "vec_id", "embedding", q, K, centres, R.tune_probes(near, "vec_id", "embedding", q, K, centres)).select("query_id", "vec_id", "score", "rank")
+
+
 def _fuse_sql(a: float, b: float) -> str:
     return f"""WITH {_BM25}, {_TOPIC},
 u AS (SELECT query_id, doc_id, {a}::DOUBLE / (60 + rank) AS s FROM lex UNION ALL SELECT query_id, doc_id, {b}::DOUBLE / (60 + rank) FROM topic),
@@ -160,7 +164,7 @@ def retrieval_plan(spark, sf):
     return R.rrf([(topical(spark, sf), 0.7), (lexical(spark, sf), 0.3)], 5).drop("lists")
 
 
-@query("fence_and_number_decode", "SELECT doc_id, CASE WHEN contains(upper(text), 'HIGH') THEN 'HIGH' WHEN contains(upper(text), 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS quality, coalesce(greatest(0.0::DOUBLE, least(10.0::DOUBLE, TRY_CAST(regexp_extract(n_chars::VARCHAR || ' of it', '^\\s*(\\S+)', 1) AS DOUBLE))) / 10, 0.5::DOUBLE) AS score, regexp_matches(lower(text), 'passed|yes|true') AS passed FROM documents WHERE text IS NOT NULL")
+@query("fence_and_number_decode", "SELECT doc_id, CASE WHEN contains(upper(text), 'HIGH') THEN 'HIGH' WHEN contains(upper(text), 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS quality, CASE WHEN n_chars IS NULL THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, least(10.0::DOUBLE, n_chars::DOUBLE)) / 10 END AS score, regexp_matches(lower(text), 'passed|yes|true') AS passed FROM documents WHERE text IS NOT NULL")
 def fence_and_number_decode(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", R.quality_word(F.col("text")).alias("quality"), R.leading_score(F.concat(F.col("n_chars").cast("string"), F.lit(" of it"))).alias("score"), F.lower("text").rlike("passed|yes|true").alias("passed"))

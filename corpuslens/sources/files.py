@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpuslens.functions import code as C
+from corpuslens.storage import materialise
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -32,14 +35,19 @@ def as_documents(df: DataFrame) -> DataFrame:
 YES, NO = ("y", "yes", "1", "true", "correct", "ok"), ("n", "no", "0", "false", "wrong", "incorrect")
 
 
-def write_label_sheet(df: DataFrame, path: str) -> None:
-    """CSV with a header for a spreadsheet; line feeds stay inside quotes."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+BOM = "\ufeff"
+
+
+def write_label_sheet(df: DataFrame, path: str, bom: bool = True) -> None:
+    """CSV with a header for a spreadsheet, which knows UTF-8 by the mark that every file begins with; line feeds stay inside quotes."""
+    marked = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
+    marked.write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
 def read_label_audit(spark: SparkSession, path: str, verdict: str = "verdict") -> DataFrame:
     """A label sheet with `marked`: true, false, or null where the verdict is neither."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = df.withColumnRenamed(df.columns[0], df.columns[0].removeprefix(BOM)) if df.columns else df
     v = F.lower(F.trim(F.col(verdict)))
     return df.withColumn("marked", F.when(v.isin(*YES), True).when(v.isin(*NO), False))
 
@@ -67,21 +75,38 @@ def read_xml_issues(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF("id", "severity", "msg", "cwe")
 
 
+def severity_gate(issues: DataFrame) -> DataFrame:
+    """Issues that count: errors and warnings, without those that are never a finding, with the class the issue stands for and the one reported."""
+    x = issues.where(F.col("severity").isin(*C.GATE_SEVERITIES) & ~F.coalesce(F.col("id"), F.lit("")).isin(*C.GATE_EXCLUDED))
+    classes = F.create_map(*(F.lit(v) for kv in C.ISSUE_CLASSES.items() for v in kv))
+    return x.withColumns({"cwe_mapped": F.try_element_at(classes, F.col("id")), "cwe_reported": F.when(F.col("cwe") != "", F.concat(F.lit("CWE-"), F.col("cwe")))})
+
+
 def pending(df: DataFrame, done: DataFrame, key: str, quota: int | None = None) -> DataFrame:
     """Rows whose key isn't done yet; a quota counts the done rows too."""
     x = df.join(done.select(key).distinct(), key, "left_anti")
     return x if quota is None else x.orderBy(key).limit(max(0, quota - done.select(key).distinct().count()))
 
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the table at path lacks; returns how many. Safe to run again after a failure."""
+def append_new(df: DataFrame, path: str, key: str, buckets: int = 256) -> int:
+    """Append the rows whose key the table at path lacks, one row per key; returns how many. Safe to run again after a failure.
+
+    The table is partitioned by `_bucket`, a hash of the key, and only the
+    buckets that occur in df are read, of these only the key column.  The new
+    rows are stored first, so the table is read once and never counted.
+    """
     spark = df.sparkSession
-    if not exists(spark, path):
-        df.write.parquet(path)
-        return spark.read.parquet(path).count()
-    before = spark.read.parquet(path).count()
-    pending(df, spark.read.parquet(path), key).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    new = df.dropDuplicates([key]).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        new = materialise(new, "append-batch")
+        hit = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most `buckets` rows
+        done = spark.read.parquet(path).where(F.col("_bucket").isin(hit)).select(key, "_bucket")
+        new = new.join(done, [key, "_bucket"], "left_anti")
+    new = materialise(new, "append-rows")
+    n = new.count()
+    if n or not exists(spark, path):
+        new.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
+    return n
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -14,6 +14,7 @@ from corpuslens.functions import text as T
 from corpuslens.operators import corpus, diff, judge, retrieval
 from corpuslens.operators import model as M
 from corpuslens.operators import stats as S
+from corpuslens.operators.running import places, running_sum
 
 
 def one(spark, schema, rows, **exprs):
@@ -135,6 +136,134 @@ def test_distribution_tails():
     assert D.fisher_two_sided(0, 0, 0, 0) == 1.0
 
 
+def test_exact_test_equals_the_sum_over_all_tables():
+    rng = random.Random(4)
+    tables = [tuple(rng.randint(0, n) for _ in range(4)) for n in (1, 3, 10, 60) for _ in range(60)]
+    for a, b, c, d in tables:
+        n, row, col = a + b + c + d, a + b, a + c
+        ways = {k: math.comb(row, k) * math.comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(w for w in ways.values() if w <= ways[a] * (1 + 1e-7)) / math.comb(n, col)
+        assert D.fisher_two_sided(a, b, c, d) == pytest.approx(want, rel=1e-9), (a, b, c, d)
+    assert 0 < D.fisher_two_sided(10**9, 10**9 + 40_000, 10**9, 10**9) < 1  # steps in the order of the deviation, not of the margins
+
+
+def test_running_sums_by_range_equal_one_window(spark):
+    rng = random.Random(8)
+    rows = [(f"g{rng.randrange(3)}", i, rng.randrange(5)) for i in rng.sample(range(5000), 700)]
+    df = spark.createDataFrame(rows, "g string, o int, n int")
+    for by in ((), ("g",)):
+        whole, cut = ({r.o: r.ahead for r in running_sum(df, "n", ["o"], "ahead", by, single).collect()} for single in (10_000, 10))
+        want = {o: sum(m for h, p, m in rows if p < o and (not by or h == g)) for g, o, _ in rows}
+        assert whole == cut == want
+    assert [r.place for r in places(df.limit(5), [F.desc("o")], single=1).orderBy(F.desc("o")).collect()] == [1, 2, 3, 4, 5]
+    assert running_sum(df.limit(0), "n", ["o"], single=1).count() == 0
+
+
+def test_medians_and_correlations_beyond_one_window(spark, monkeypatch):
+    from corpuslens.operators import running
+
+    monkeypatch.setattr(running, "SINGLE", 3)
+    rng = random.Random(2)
+    rows = [("a", rng.randint(0, 30), rng.randint(0, 30)) for _ in range(101)] + [("b", 4, 4), ("b", 7, 9), ("c", 5, None), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v int, w int")
+    got = {r.g: (r.n, r["median"], r["std"]) for r in S.describe(df, "v", "g").collect()}
+    import statistics
+
+    v = [x for g, x, _ in rows if g == "a"]
+    assert got["a"] == (101, statistics.median(v), pytest.approx(statistics.stdev(v), abs=1e-6)) and got["b"][1] == 5.5 and got["c"] == (1, 5, 0.0)
+    rank = lambda xs: [sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for x in xs]
+    x, y = rank(v), rank([w for g, _, w in rows if g == "a"])
+    rho = {r.g: r.rho for r in S.spearman(df, "v", "w", "g").collect()}
+    assert rho["a"] == pytest.approx(statistics.correlation(x, y), abs=1e-6) and rho["b"] == 1.0
+
+
+def test_bca_intervals(spark):
+    import numpy as np
+
+    data = np.array([1] * 12 + [0] * 48)
+    left = np.array([np.delete(data, i).mean() for i in range(len(data))])
+    d = left.mean() - left
+    assert S.proportion_acceleration(12, 60) == pytest.approx((d**3).sum() / (6 * (d**2).sum() ** 1.5))
+    assert S.proportion_acceleration(0, 5) == S.proportion_acceleration(1, 1) == 0
+    draws = np.random.default_rng(1).binomial(60, 0.2, 10_000) / 60
+    low, high = S.bca_bounds(draws, 0.2, S.proportion_acceleration(12, 60))
+    assert 0.05 < low < 0.2 < high < 0.35
+    normal = np.random.default_rng(2).normal(size=20_000)
+    for point, a in ((0.0, 0.0), (0.3, 0.0), (0.0, 0.05)):  # the bounds are the quantiles that the definition names
+        from statistics import NormalDist
+
+        z0 = NormalDist().inv_cdf(float((normal < point).mean()))
+        want = [NormalDist().cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (-1.959963984540054, 1.959963984540054)]
+        assert S.bca_bounds(normal, point, a) == pytest.approx(np.quantile(normal, want), abs=1e-9)
+    assert S.bca_bounds(draws, -1.0, 0.0) == tuple(np.percentile(draws, [2.5, 97.5]))
+    counts = spark.createDataFrame([("a", 12, 60), ("b", 0, 0), ("c", 5, 5)], "k string, x long, n long")
+    got = {r.k: (r.proportion, r.boot_low, r.boot_high) for r in S.bootstrap_proportions(counts, "k", "x", "n").collect()}
+    assert got["a"][1:] == pytest.approx((low, high), abs=0.02) and got["b"] == (0, 0, 0) and got["c"] == (1, 1, 1)
+    rows = spark.createDataFrame([("a", v) for v in data.tolist()] + [("a", None)], "k string, v int")
+    m = S.bootstrap_means(rows, "v", "k").first()
+    assert (m.mean, m.boot_low, m.boot_high) == pytest.approx((0.2, low, high), abs=0.02)
+    with pytest.raises(ValueError):
+        S.bootstrap_proportions(counts, "k", "x", "n", method="other")
+
+
+def test_best_keeps_the_smallest_ids_of_ties():
+    import numpy as np
+
+    best = retrieval.Best(2, 3)
+    for ids in ([9, 8, 7, 6, 5], [4, 3, 2, 1, 9]):
+        best.add(np.array(ids), np.array([[1.0, i] for i in ids]), np.array([0, 1]))
+    q, ids, score = best.rows(["x", "y"])
+    assert ids == [1, 2, 3, 9, 8, 7] and q == ["x"] * 3 + ["y"] * 3 and score[:3] == [1.0] * 3
+
+
+def test_dense_search_edges_and_recall_of_cells(spark, sf, monkeypatch):
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.6, 0.8], None), (3, None, "a"), (4, [1.0], "a"), (5, [None, 1.0], "a"), (6, [1.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (6, [1.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, c string")
+    assert [(r.query_id, r.vec_id, r.score) for r in retrieval.dense(df, "id", "v", df.where("id = 1"), 5).orderBy("rank").collect()] == [(1, 6, 1.0), (1, 2, 0.6)]
+    assert [r.vec_id for r in retrieval.dense(df, "id", "v", df.where("id = 1"), 5, "c").collect()] == [6]
+    assert retrieval.dense(df, "id", "v", df.limit(0), 5).count() == 0 and retrieval.dense(df.limit(0), "id", "v", df, 5).count() == 0
+    e = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    q = e.where("vec_id % 100 = 0")
+    exact = {(r.query_id, r.vec_id) for r in retrieval.dense(e, "vec_id", "embedding", q, 10).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert exact == {(r.query_id, r.vec_id) for r in retrieval.dense(e, "vec_id", "embedding", q, 10).collect()}
+    centres = retrieval.fit_cells(e, "embedding", 16)
+    near = retrieval.assign_cells(e, "embedding", centres)
+    assert near.where("cell between 0 and 15").count() == e.count()
+    probes = retrieval.tune_probes(near, "vec_id", "embedding", q, 10, centres)
+    assert 1 < probes < 16
+    got = {(r.query_id, r.vec_id) for r in retrieval.dense_ann(near, "vec_id", "embedding", q, 10, centres, probes).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
+    assert retrieval.tune_probes(near, "vec_id", "embedding", q.limit(0), 10, centres) == 16
+
+
+def test_lexical_search_edges(spark):
+    docs = spark.createDataFrame([(1, "alpha beta", "x"), (1, "alpha alpha", "x"), (2, None, "x"), (None, "alpha", "x"), (3, "alpha gamma", None)], "d int, t string, c string")
+    q = spark.createDataFrame([(7, "alpha beta beta", "x"), (8, None, "x"), (None, "alpha", "x")], "q int, t string, c string")
+    assert {(r.query_id, r.doc_id) for r in retrieval.bm25(docs, "d", "t", q, "q", "t", 5).collect()} == {(7, 1), (7, 3)}
+    assert [(r.query_id, r.doc_id, r.score) for r in retrieval.shared_terms(docs, "d", "t", q, "q", "t", 5, "c").collect()] == [(7, 1, 2.0)]
+    assert retrieval.bm25(docs.limit(0), "d", "t", q, "q", "t", 5).count() == 0 and retrieval.bm25(docs, "d", "t", q.limit(0), "q", "t", 5).count() == 0
+
+
+def test_reranking_by_a_scorer_and_by_answers(spark):
+    hits = spark.createDataFrame([(1, d, d, "q", "x" * d) for d in range(1, 5)], "query_id int, doc_id int, rank int, query string, text string")
+    assert [r.doc_id for r in retrieval.rerank_by(hits, 2, lambda qs, ts: [len(t) for t in ts]).orderBy("new_rank").collect()] == [4, 3]
+    answers = spark.createDataFrame([(1, 1, "2"), (1, 2, "none"), (1, 3, " 9 of 10"), (1, 4, "99")], "query_id int, doc_id int, answer string")
+    assert [r.doc_id for r in retrieval.rerank_by_answers(hits, answers, 3).orderBy("new_rank").collect()] == [4, 3, 2]
+    assert retrieval.rerank_by(hits.limit(0), 2, lambda qs, ts: []).count() == 0
+
+
+def test_facets_structure_and_builds(spark):
+    full = '{"functional_semantics": " a ", "root_cause": "b", "trigger_condition": "c", "fix_pattern": "d", "more": 1}'
+    rows = [(full,), (f"```json\n{full}\n```",), (f"Here: {full} so.",), (full.replace('"b"', "3"),), (full.replace('"c"', '"  "'),), (full.replace('"fix_pattern"', '"other"'),), ("none",), (None,)]
+    got = [r.k for r in one(spark, "t string", rows, k=T.knowledge_facets(F.col("t")))]
+    assert [k and k.functional_semantics for k in got] == ["a"] * 3 + [None] * 5
+    text = one(spark, "t string", [("void f(char *a, int b) {\n strcpy(x, a);\n if (a != NULL) free(a);\n}",)], s=C.structure_text(F.col("t"), F.lit("C++")))[0].s.split("\n")
+    assert text[0] == "=== Code Structure Analysis ===" and any("strcpy() " in x for x in text) and "Parameters (potential external input): char *a, int b" in text and "Lines of code: 4" in text
+    logs = [("a: error: b", 1), ("a: error: b", 0), ("AddressSanitizer error: b", 1), (None, 1)]
+    assert [r.f for r in one(spark, "l string, e int", logs, f=C.compile_failed(F.col("l"), F.col("e")))] == [True, False, False, False]
+
+
 def test_rank_statistics_match_pairs(spark):
     rng = random.Random(3)
     x, y = [rng.randint(0, 9) for _ in range(40)], [rng.randint(2, 12) for _ in range(30)]
