@@ -9,6 +9,7 @@ and neither a common term nor a large class is a key of a join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -111,33 +112,86 @@ def _top(hits: DataFrame, doc: str, k: int) -> DataFrame:
 
 def _query_blocks(queries: DataFrame) -> Iterator[list]:
     """Rows of a query set in blocks of about QUERY_BLOCK, each collected on its own."""
+    some = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(some) <= QUERY_BLOCK:
+        yield some
+        return
     queries = materialise(queries, "search-queries")
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = -(-queries.count() // QUERY_BLOCK)
     for n in range(parts):
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == n).collect()  # about QUERY_BLOCK rows
 
 
+_IDENTIFIER, _HUMP = re.compile("[A-Za-z_][A-Za-z0-9_]*"), re.compile("([a-z0-9])([A-Z])")
+
+
+class _Identifiers(dict):
+    """Number of an identifier; of each number the terms it has as `text.code_tokens` cuts it, and those of a vocabulary.
+
+    Forgets all between batches when it holds more than `bound`, so its memory is bounded.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], bound: int = 300_000) -> None:
+        super().__init__()
+        self.vocabulary, self.bound, self.size, self.known = vocabulary, bound, [], []
+
+    def __missing__(self, name: str) -> int:
+        parts = [p for p in _HUMP.sub(r"\1 \2", name).replace("_", " ").lower().split(" ") if len(p) >= 2 and not p.isdigit()]
+        self.size.append(len(parts))
+        self.known.append([self.vocabulary[p] for p in parts if p in self.vocabulary])
+        self[name] = n = len(self.size) - 1
+        return n
+
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of each text in all, and text, term and occurrences of those of the vocabulary."""
+        if len(self) > self.bound:
+            self.clear()
+            self.size, self.known = [], []
+        flat: list[int] = []
+        ends = [0]
+        for t in texts:
+            flat.extend(map(self.__getitem__, _IDENTIFIER.findall(t)))
+            ends.append(len(flat))
+        number, owner = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), np.diff(ends))
+        size = np.bincount(owner, np.array(self.size, float)[number], len(texts)).astype(np.int32) if flat else np.zeros(len(texts), np.int32)
+        many = np.array([len(k) for k in self.known], np.int64)
+        terms, first = np.array([t for k in self.known for t in k], np.int64), np.cumsum(many) - many
+        n = many[number] if flat else number
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[number] if flat else number, n)
+        width = max(1, len(self.vocabulary))
+        pair, tf = np.unique(np.repeat(owner, n) * width + terms[at] if len(at) else at, return_counts=True)
+        return size, pair // width, pair % width, tf
+
+
 def _term_counts(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, same, length, terms, tfs) of all documents that have tokens: only terms of the vocabulary are stored, by number."""
     kind = docs.schema["doc_id"].dataType.simpleString(), docs.schema["same"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = vocabulary.value
+        identifiers = _Identifiers(vocabulary.value)
         for b in batches:
-            lists = b.column(2)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-            known = np.array([number.get(t, -1) for t in flat.dictionary.to_pylist()] + [-1], np.int64)
-            term, owner = known[flat.indices.to_numpy()], np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            has = term >= 0
-            pair, tf = np.unique(owner[has] * (len(number) + 1) + term[has], return_counts=True)
-            owner, term = np.divmod(pair, len(number) + 1)
+            size, owner, term, tf = identifiers.count(b.column(2).to_pylist())
             ends = pa.array(np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32))
             terms, tfs = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, tf))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int32)), terms, tfs], names=["doc_id", "same", "length", "terms", "tfs"])
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), terms, tfs], names=["doc_id", "same", "length", "terms", "tfs"])
+            yield out.filter(pa.array(size > 0))
+
+    return docs.where("text is not null").select("doc_id", "same", "text").mapInArrow(run, f"doc_id {kind[0]}, same {kind[1]}, length int, terms array<int>, tfs array<int>")
+
+
+def _document_frequencies(counts: DataFrame) -> DataFrame:
+    """(term, documents), counted in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            n = np.bincount(b.column(0).flatten().to_numpy(), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
 
-    toks = docs.select("doc_id", "same", T.code_tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    return toks.mapInArrow(run, f"doc_id {kind[0]}, same {kind[1]}, length int, terms array<int>, tfs array<int>")
+    return counts.select("terms").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def _products(weigh: Callable):
@@ -186,7 +240,7 @@ def _lexical(docs: DataFrame, queries: DataFrame, k: int, weigh: Callable, cell:
         if with_idf:
             n, length = counts.agg(F.count("*"), F.avg("length")).first()
             df = np.zeros(len(names))
-            for t, m in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect():  # a row per term of the block's queries
+            for t, m in _document_frequencies(counts).collect():  # a row per term of the block's queries
                 df[t] = m
             stats = {"idf": np.log(1 + (n - df + 0.5) / (df + 0.5)), "average": length}
         blocks, at = [], 0
