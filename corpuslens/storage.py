@@ -45,7 +45,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` returned, once no plan reads it any more; anything else is left alone."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        drop(df.sparkSession, path)
+        _made[:] = [(s, p) for s, p in _made if p != path]
 
 
 def drop(spark: SparkSession, path: str) -> None:
