@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.joins import hot_keys, join_hot
-from corpuslens.storage import materialise
+from corpuslens.storage import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -30,13 +30,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     e = materialise(e.union(e.select("y", "x")).distinct(), "cc-edges")
     label = materialise(e.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "cc-labels-0")
-    hubs = materialise(hot_keys(e, "y"), "cc-hubs")
+    stored, hubs = label, materialise(hot_keys(e, "y"), "cc-hubs")
     for n in range(1, max_rounds + 1):
         near = join_hot(e, label.withColumnRenamed("node", "y"), "y", "x", "inner", hubs).groupBy("x").agg(F.min("component").alias("m"))
         low = label.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("p"))
         jump = label.select(F.col("node").alias("p"), F.col("component").alias("pp"))
         new = materialise(join_hot(low, jump, "p", "node").select("node", "old", F.least("p", F.coalesce("pp", "p")).alias("component")), f"cc-labels-{n}")
+        discard(stored)
         if not new.where("old <> component").limit(1).count():
+            discard(e)
+            discard(hubs)
             return new.select("node", "component")
-        label = new.select("node", "component")
+        stored, label = new, new.select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

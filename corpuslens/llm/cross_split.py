@@ -15,7 +15,8 @@ those are joined across the splits.  Rarity is read from a histogram of fixed
 size (COUNTERS, over all distinct shingles of both splits), which gives one
 global order at any corpus size: shingles that very many records share come
 last in every text, so a hot shingle that a third of all rows hold joins
-nothing unless a text consists of such shingles.  Sizes and the shingles still
+nothing unless a text consists of such shingles; then its pairs are spread over
+several tasks, and equal texts of a side are one row.  Sizes and the shingles still
 to come prune further, and so do bitmaps of shingle parities, whose distance
 is no more than the number of shingles that are in only one of the two texts;
 all without loss.
@@ -40,9 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import text as X
+from corpuslens.llm.joins import is_small
 from corpuslens.storage import materialise, spread
 
 COUNTERS = 1 << 18
+SALT = 32
 #: bits of a bitmap of shingle parities
 BITS = 512
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -58,8 +61,10 @@ class OverlapConfig:
     window: int = 2
     mean: int = 4
     longest: int = 15
-    #: up to so many keys of matched texts go to every task as a broadcast (16 bytes each), more are joined by shuffle
-    broadcast_keys: int = 1_000_000
+    #: up to so many keys of matched texts go to every task as a broadcast (some 100 bytes each in the JVM), more are joined by shuffle
+    broadcast_keys: int = 100_000
+    #: shingles in a bucket of more than so many are joined by several tasks
+    hot_rows: int = 1_000_000
 
 
 def chunk(flat: np.ndarray, offsets: np.ndarray, cfg: OverlapConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,8 +153,12 @@ def _features(cfg: OverlapConfig, counts: np.ndarray):
     return run, schema
 
 
-def _prefixes():
-    """Rows of the rarest shingles of each text; rest is the number from this shingle on, in the global order."""
+def _prefixes(hot: np.ndarray, spread_side: bool):
+    """Rows of the rarest shingles of each text; rest is the number from this shingle on, in the global order.
+
+    Shingles of hot buckets get a salt by the text on one side and all salts on
+    the other, so that the pairs of one shingle are found by SALT tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,10 +168,15 @@ def _prefixes():
             parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
             size = np.array([len(x) for x in parts])
             before = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            n = np.repeat(n, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(k, size)), pa.array((n - before).astype(np.int32)), pa.array(n.astype(np.int32))], names=["digest", "k", "rest", "n"])
+            n, k, digest = np.repeat(n, size), np.repeat(k, size), np.concatenate(parts)
+            is_hot = hot[_bucket(digest.view(np.uint64))]
+            salt = np.where(is_hot, k % SALT, 0)
+            if not spread_side and is_hot.any():
+                at = np.repeat(np.arange(len(digest)), np.where(is_hot, SALT, 1))
+                digest, k, n, before, salt = digest[at], k[at], n[at], before[at], np.arange(len(at)) - np.searchsorted(at, at)
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(salt.astype(np.int32)), pa.array(k), pa.array((n - before).astype(np.int32)), pa.array(n.astype(np.int32))], names=["digest", "salt", "k", "rest", "n"])
 
-    return run, "digest long, k long, rest int, n int"
+    return run, "digest long, salt int, k long, rest int, n int"
 
 
 def _parity(cfg: OverlapConfig):
@@ -237,21 +251,19 @@ def cross_split_overlap(held_out: DataFrame, train: DataFrame, id_col: str, fiel
     run, schema = _features(cfg, counts)
     feats = materialise(texts.mapInArrow(run, schema), "overlap-features")
 
-    run, schema = _prefixes()
-    one = [feats.where(F.col("side") == s).groupBy("k").agg(F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix")) for s in (0, 1)]
-    a, b = (o.mapInArrow(run, schema).select("digest", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "rest", "n"))) for o, x in zip(one, "ab"))
+    once = lambda s, c: feats.where(F.col("side") == s).groupBy("gkey").agg(F.first("k").alias("k"), F.first("n_shingles").alias("n"), F.first(c).alias(c)).drop("gkey")
+    sides = [_prefixes(counts > cfg.hot_rows, s == 0) for s in (0, 1)]
+    a, b = (once(s, "prefix").mapInArrow(*sides[s]).select("digest", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "rest", "n"))) for s, x in enumerate("ab"))
     shared = cfg.threshold / (1 + cfg.threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
     close = (F.least("n_a", "n_b") >= cfg.threshold * F.greatest("n_a", "n_b") - 1e-6) & (F.least("rest_a", "rest_b") >= shared)
-    pairs = a.join(b, "digest").where(close).select(F.col("k_a").alias("ka"), F.col("k_b").alias("kb")).distinct()
+    pairs = a.join(b, ["digest", "salt"]).where(close).select(F.col("k_a").alias("ka"), F.col("k_b").alias("kb")).distinct()
 
-    one = [feats.where(F.col("side") == s).groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bits")) for s in (0, 1)]
     run, schema = _parity(cfg)
-    wide = pairs.join(one[0].toDF("ka", "na", "ba"), "ka").join(one[1].toDF("kb", "nb", "bb"), "kb")
+    wide = pairs.join(once(0, "bitmap").toDF("ka", "na", "ba"), "ka").join(once(1, "bitmap").toDF("kb", "nb", "bb"), "kb")
     pairs = materialise(wide.select("ka", "kb", "na", "nb", "ba", "bb").mapInArrow(run, schema), "overlap-pairs")
 
     need = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct()
-    if need.limit(cfg.broadcast_keys + 1).count() <= cfg.broadcast_keys:
-        need = F.broadcast(need)
+    need = F.broadcast(need) if is_small(need, cfg.broadcast_keys) else need
     run, schema = _keys()
     found = texts.select("text").mapInArrow(run, schema).join(need, "k", "left_semi")
     found = found.repartition("k").groupBy("k", "gkey").agg(F.first("text").alias("text"))

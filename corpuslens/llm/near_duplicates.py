@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import text as X
 from corpuslens.llm.components import connected_components
 from corpuslens.llm.joins import HOT_ROWS, is_small, join_hot
-from corpuslens.storage import materialise, spread
+from corpuslens.storage import discard, materialise, spread
 
 
 @dataclass(frozen=True)
@@ -279,4 +279,6 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupC
     run, schema = _exact(cfg)
     links = close.join(texts.toDF("gkey_a", "text_a"), "gkey_a").join(texts.toDF("gkey_b", "text_b"), "gkey_b")
     links = links.select("gkey_a", "gkey_b", "text_a", "text_b").mapInArrow(run, schema)
-    return NearDuplicates(members, one.select("code_field", "gkey", "first_id"), materialise(links, "near-links"), count.select("pattern", "n"))
+    links = materialise(links, "near-links")
+    discard(close)
+    return NearDuplicates(members, one.select("code_field", "gkey", "first_id"), links, count.select("pattern", "n"))

@@ -168,6 +168,19 @@ def test_cross_split_overlap_equals_brute_force(spark):
     assert cross_split_overlap(a.limit(0), b, "sample_id", ["a"]).count() == 0
 
 
+def test_cross_split_overlap_of_boilerplate(spark):
+    """A third of the rows are variants of one boilerplate, whose shingles are hot."""
+    rng = random.Random(6)
+    boiler = [f"b{i}" for i in range(30)]
+    text = lambda i: " ".join([*boiler, *(rng.choice(VOCAB) for _ in range(rng.choice([0, 4, 12])))] if i % 3 == 0 else [rng.choice(VOCAB) for _ in range(30)])
+    te, tr = ([(f"{c}{i}", text(i)) for i in range(120)] for c in "st")
+    a, b = (spark.createDataFrame(x, "sample_id string, a string") for x in (te, tr))
+    want = {(x, y) for x, s in te for y, t in tr if sim(s, t) >= 0.7}
+    for cfg in (OverlapConfig(words=3, threshold=0.7, hot_rows=10, broadcast_keys=1), OverlapConfig(words=3, threshold=0.7)):
+        got = [(r.sample_id, r.train_id) for r in cross_split_overlap(a, b, "sample_id", ["a"], cfg).collect()]
+        assert set(got) == want and len(got) == len(want) > 500
+
+
 def test_cross_split_overlap_of_texts_that_share_no_chunk(spark):
     rng = random.Random(11)
     te, tr = [], []
