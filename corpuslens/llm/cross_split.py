@@ -156,8 +156,9 @@ def _features(cfg: OverlapConfig, counts: np.ndarray):
 def _prefixes(hot: np.ndarray, spread_side: bool):
     """Rows of the rarest shingles of each text; rest is the number from this shingle on, in the global order.
 
-    Shingles of hot buckets get a salt by the text on one side and all salts on
-    the other, so that the pairs of one shingle are found by SALT tasks.
+    The key is the shingle; those of hot buckets have a salt by the text mixed in
+    on one side and all salts on the other, so that the pairs of one shingle are
+    found by SALT tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +175,10 @@ def _prefixes(hot: np.ndarray, spread_side: bool):
             if not spread_side and is_hot.any():
                 at = np.repeat(np.arange(len(digest)), np.where(is_hot, SALT, 1))
                 digest, k, n, before, salt = digest[at], k[at], n[at], before[at], np.arange(len(at)) - np.searchsorted(at, at)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(salt.astype(np.int32)), pa.array(k), pa.array((n - before).astype(np.int32)), pa.array(n.astype(np.int32))], names=["digest", "salt", "k", "rest", "n"])
+            key = (digest.view(np.uint64) + salt.astype(np.uint64) * _D).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(k), pa.array((n - before).astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "k", "rest", "n"])
 
-    return run, "digest long, salt int, k long, rest int, n int"
+    return run, "key long, k long, rest int, n int"
 
 
 def _parity(cfg: OverlapConfig):
@@ -253,10 +255,10 @@ def cross_split_overlap(held_out: DataFrame, train: DataFrame, id_col: str, fiel
 
     once = lambda s, c: feats.where(F.col("side") == s).groupBy("gkey").agg(F.first("k").alias("k"), F.first("n_shingles").alias("n"), F.first(c).alias(c)).drop("gkey")
     sides = [_prefixes(counts > cfg.hot_rows, s == 0) for s in (0, 1)]
-    a, b = (once(s, "prefix").mapInArrow(*sides[s]).select("digest", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "rest", "n"))) for s, x in enumerate("ab"))
+    a, b = (once(s, "prefix").mapInArrow(*sides[s]).select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("k", "rest", "n"))) for s, x in enumerate("ab"))
     shared = cfg.threshold / (1 + cfg.threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
     close = (F.least("n_a", "n_b") >= cfg.threshold * F.greatest("n_a", "n_b") - 1e-6) & (F.least("rest_a", "rest_b") >= shared)
-    pairs = a.join(b, ["digest", "salt"]).where(close).select(F.col("k_a").alias("ka"), F.col("k_b").alias("kb")).distinct()
+    pairs = a.join(b, "key").where(close).select(F.col("k_a").alias("ka"), F.col("k_b").alias("kb")).distinct()
 
     run, schema = _parity(cfg)
     wide = pairs.join(once(0, "bitmap").toDF("ka", "na", "ba"), "ka").join(once(1, "bitmap").toDF("kb", "nb", "bb"), "kb")
