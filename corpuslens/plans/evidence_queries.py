@@ -14,7 +14,7 @@ from corpuslens.plans.catalogue import query
 from corpuslens.plans.corpus_queries import _CODE, _MARK, _RISK, _SIGNALS, _STRIP, coded, patches
 from corpuslens.plans.retrieval_queries import _BM25, _with_texts, lexical
 from corpuslens.plans.stats_queries import _API, _COMPLEX, model_input
-from corpuslens.plans.tables import OPINIONS, opinions, samples, table, with_samples
+from corpuslens.plans.tables import OPINIONS, opinions, table, with_samples
 from corpuslens.sources import files
 
 # ---- structure of snippets ---------------------------------------------------------------------------

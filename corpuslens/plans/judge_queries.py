@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions import code as C
-from corpuslens.functions import text as T
 from corpuslens.operators import evaluate as E
 from corpuslens.operators import judge as J
 from corpuslens.plans.catalogue import query
