@@ -61,7 +61,7 @@ class NearDupConfig:
     width: int = 6
     max_distance: int = 46
     block: int = 256
-    #: up to so many keys of candidate texts are broadcast (some 100 bytes each in the JVM), more are joined by shuffle
+    #: up to so many keys of candidate texts are broadcast (8 bytes, some 50 in the JVM's hash table), more are joined by shuffle
     broadcast_keys: int = 100_000
 
     @property
@@ -97,10 +97,14 @@ def _gkey(field: str, words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b"\0".join([field.encode(), *words]))
 
 
+def _short(gkey: bytes) -> int:
+    return int.from_bytes(gkey[:8], "little", signed=True)
+
+
 def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = [_gkey(f, X.words(t)) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(1)], names=["gkey", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(map(_short, keys), pa.int64()), pa.array(keys, pa.binary()), b.column(1)], names=["k", "gkey", "text"])
 
 
 def _features(cfg: NearDupConfig):
@@ -116,7 +120,7 @@ def _features(cfg: NearDupConfig):
             starts = np.append(at[has], len(h))
             fp = fingerprints(h, starts, cfg.symbols)
             keys = [_gkey(fields[i], lists[i]) for i in has]
-            k = np.array([int.from_bytes(x[:8], "little", signed=True) for x in keys], np.int64)
+            k = np.array([_short(x) for x in keys], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([fields[i] for i in has], pa.string()),
@@ -155,9 +159,9 @@ def _close(cfg: NearDupConfig):
         for b in batches:
             if b.num_rows:
                 d = (_fp_matrix(b.column(2), cfg) != _fp_matrix(b.column(3), cfg)).sum(axis=1)
-                yield b.select([0, 1]).filter(pa.array(d <= cfg.max_distance))
+                yield b.select([0, 1, 4, 5]).filter(pa.array(d <= cfg.max_distance))
 
-    return run, "gkey_a binary, gkey_b binary"
+    return run, "gkey_a binary, gkey_b binary, ka long, kb long"
 
 
 def _exact(cfg: NearDupConfig):
@@ -269,13 +273,13 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], cfg: NearDupC
 
     a, b = (one.select(F.col("k").alias(f"k{x}"), F.col("gkey").alias(f"gkey_{x}"), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     run, schema = _close(cfg)
-    close = pairs.join(a, "ka").join(b, "kb").select("gkey_a", "gkey_b", "fp_a", "fp_b").mapInArrow(run, schema)
+    close = pairs.join(a, "ka").join(b, "kb").select("gkey_a", "gkey_b", "fp_a", "fp_b", "ka", "kb").mapInArrow(run, schema)
     close = materialise(close, "near-candidates")
     # only texts that are in a candidate pair are read again for the exact comparison
-    need = close.select(F.col("gkey_a").alias("gkey")).union(close.select("gkey_b")).distinct()
+    need = close.select(F.col("ka").alias("k")).union(close.select("kb")).distinct()
     need = F.broadcast(need) if is_small(need, cfg.broadcast_keys) else need
-    texts = rows.select("code_field", "text").mapInArrow(_keyed_texts, "gkey binary, text string")
-    texts = texts.join(need, "gkey", "left_semi").groupBy("gkey").agg(F.first("text").alias("text"))
+    texts = rows.select("code_field", "text").mapInArrow(_keyed_texts, "k long, gkey binary, text string")
+    texts = texts.join(need, "k", "left_semi").groupBy("gkey").agg(F.first("text").alias("text"))
     run, schema = _exact(cfg)
     links = close.join(texts.toDF("gkey_a", "text_a"), "gkey_a").join(texts.toDF("gkey_b", "text_b"), "gkey_b")
     links = links.select("gkey_a", "gkey_b", "text_a", "text_b").mapInArrow(run, schema)
