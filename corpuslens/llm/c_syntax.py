@@ -8,6 +8,8 @@ from corpuslens.llm.derivatives import Grammar, TooMuchWork
 
 #: Tokens that the macros of one text may give, and steps that it may take.
 EXPANSION = 300_000
+#: Steps for building the shared runs of one text, and those for each of its characters.
+SHARING, SHARING_PER_CHARACTER = 10_000_000, 100
 
 #: The keywords that the grammar tells apart, and the punctuators of both languages.
 KEYWORDS = frozenset(
@@ -157,10 +159,11 @@ class _Condition:
         return bool(_evaluate(out))
 
 
-def tokens(code: str) -> tuple[list[str], list[int], bool]:
+def tokens(code: str, shared: bool = False) -> tuple[list, list[int], bool]:
     """Token classes and lines of the preprocessed text, and whether it could be cut and preprocessed to its end.
 
-    Raises TooMuchWork where macros exceed EXPANSION.
+    Raises TooMuchWork where macros exceed EXPANSION.  If `shared`, what a macro gives is one ``Run``, which is built once for
+    all places, so the work doesn't depend on how many tokens there are.
     """
     code = re.sub(r"\\\r?\n", "", code.replace("\r\n", "\n").replace("﻿", ""))
     kinds: list[str] = []
@@ -168,7 +171,8 @@ def tokens(code: str) -> tuple[list[str], list[int], bool]:
     macros: dict[str, tuple | str] = {}
     blocks: list[list[bool]] = []  # [active now, some branch taken, parent active, else seen]
     active, at, line, fresh = True, 0, 1, True
-    n, budget = len(code), [EXPANSION]
+    n, budget = len(code), [SHARING + SHARING_PER_CHARACTER * len(code) if shared else EXPANSION]
+    runs = _Runs(macros, budget) if shared else None
 
     def bad(where: int) -> tuple[list[str], list[int], bool]:
         kinds.append("BAD")
@@ -218,8 +222,12 @@ def tokens(code: str) -> tuple[list[str], list[int], bool]:
                         m = _DEFINE.match(rest)
                         if not m:
                             return bad(here)
+                        if runs:
+                            runs.forget()
                         macros[m[1]] = ([p.strip() for p in m[3].split(",")] if m[3].strip() else [], m[4].strip()) if m[2] else m[4].strip()
                     elif word == "undef":
+                        if runs:
+                            runs.forget()
                         macros.pop(rest.strip(), None)
                     elif word == "include" and not re.fullmatch(r"\s*(<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*.*)\s*", rest):
                         return bad(here)
@@ -245,13 +253,13 @@ def tokens(code: str) -> tuple[list[str], list[int], bool]:
                 params, body = macros[text]
                 line_here, line = line, line + code.count("\n", at, end)
                 at = end
-                ok = _expand(body, macros, dict(zip(params, args)), {text}, kinds, budget)
+                ok = runs.call(body, dict(zip(params, args)), kinds) if runs else _expand(body, macros, dict(zip(params, args)), {text}, kinds, budget)
                 lines.extend([line_here] * (len(kinds) - len(lines)))
                 if not ok:
                     return bad(line)
                 continue
         elif group == "id" and text in macros:
-            ok = _expand(macros[text], macros, {}, {text}, kinds, budget)
+            ok = runs.name(text, kinds) if runs else _expand(macros[text], macros, {}, {text}, kinds, budget)
             lines.extend([line] * (len(kinds) - len(lines)))
             if not ok:
                 return bad(line)
@@ -263,7 +271,7 @@ def tokens(code: str) -> tuple[list[str], list[int], bool]:
             return kinds, lines, False
     if blocks:
         return bad(line)
-    kinds, lines = _without_attributes(kinds, lines)
+    kinds, lines = _without_attributes_shared(kinds, lines, budget) if shared else _without_attributes(kinds, lines)
     return kinds, lines, True
 
 
@@ -357,6 +365,220 @@ def _expand(body: str, macros: dict, bound: dict[str, str], inside: set[str], ki
     return True
 
 
+_ATTRIBUTES = ("__attribute__", "__declspec")
+
+
+def _kept(parts: list) -> list[int]:
+    """Places of the parts outside attributes whose brackets open and close among these parts."""
+    keep, at = [], 0
+    while at < len(parts):
+        end = at + 1
+        if parts[at] in _ATTRIBUTES and parts[end : end + 1] == ["("]:
+            depth = 1
+            while depth and (end := end + 1) < len(parts):
+                p = parts[end]
+                if isinstance(p, Run) and depth + p.low <= 0:
+                    break
+                depth += p.depth if isinstance(p, Run) else {"(": 1, ")": -1}.get(p, 0)
+            if not depth:
+                at = end + 1
+                continue
+        keep.append(at)
+        at += 1
+    return keep
+
+
+class Run:
+    """Tokens that a macro gives: token classes and further runs, none of them empty; `whole` if they could be cut to the end."""
+
+    __slots__ = ("parts", "whole", "size", "first", "last", "depth", "low", "attributes")
+
+    def __init__(self, parts: list, whole: bool = True) -> None:
+        parts = [p for p in parts if isinstance(p, str) or p.parts]
+        if any(p in _ATTRIBUTES for p in parts):
+            parts = [parts[i] for i in _kept(parts)]
+        self.parts, self.whole = parts, whole
+        self.size = self.depth = self.low = 0
+        self.attributes = False  # whether one is left
+        for p in parts:
+            run = isinstance(p, Run)
+            self.size += p.size if run else 1
+            self.low = min(self.low, self.depth + (p.low if run else -(p == ")")))
+            self.depth += p.depth if run else (p == "(") - (p == ")")
+            self.attributes |= p.attributes if run else p in _ATTRIBUTES
+        self.first = (parts[0].first if isinstance(parts[0], Run) else parts[0]) if parts else None
+        self.last = (parts[-1].last if isinstance(parts[-1], Run) else parts[-1]) if parts else None
+
+    def cut(self, end: int) -> Run:
+        """Without the first token (0) or the last one (-1)."""
+        spine, out = [self], []
+        while isinstance(spine[-1].parts[end], Run):
+            spine.append(spine[-1].parts[end])
+        for r in reversed(spine):
+            out = [Run(out + r.parts[1:] if end == 0 else r.parts[:-1] + out, r.whole)]
+        return out[0]
+
+
+class _Runs:
+    """The runs of a text's macros, each built once per set of macros that may not be expanded in it."""
+
+    def __init__(self, macros: dict, budget: list[int]) -> None:
+        self.macros, self.budget = macros, budget
+        self.items_of: dict[str, list[tuple[str, str]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """A macro is about to change."""
+        self.runs: dict[tuple, Run] = {}
+        self.circles: dict[str, frozenset[str]] = {}
+
+    def _spend(self, steps: int) -> None:
+        self.budget[0] -= steps
+        if self.budget[0] < 0:
+            raise TooMuchWork
+
+    def _items(self, body: str) -> list[tuple[str, str]]:
+        """(what, text) of a body's tokens: name, kind, paste or stop."""
+        if body not in self.items_of:
+            at, out = 0, []
+            while at < len(body):
+                m = _TOKEN.match(body, at)
+                if not m:
+                    out.append(("stop", ""))
+                    break
+                text, at = m.group(), m.end()
+                group = m.lastgroup if m.lastgroup != "mark" else "raw"
+                if text == "#":
+                    m = _TOKEN.match(body, at)
+                    at = m.end() if m else at
+                    out.append(("kind", "STR"))
+                elif group != "space":
+                    out.append(("paste", "") if text == "##" else ("name", text) if group == "id" else ("kind", _kind(group, text)))
+            self._spend(len(body) // 4)
+            self.items_of[body] = out
+        self._spend(len(self.items_of[body]) + 1)
+        return self.items_of[body]
+
+    def _names(self, body: str) -> list[str]:
+        return [x for what, x in self._items(body) if what == "name" and isinstance(self.macros.get(x), str)]
+
+    def _circle(self, name: str) -> frozenset[str]:
+        """Macros that lead to `name` and that it leads to (Tarjan): only they can be kept from being expanded in it."""
+        order: dict[str, int] = {}
+        low: dict[str, int] = {}
+        path: list[str] = []
+        todo = [] if name in self.circles else [(name, iter(self._names(self.macros[name])))]
+        while todo:
+            x, rest = todo[-1]
+            if x not in order:
+                order[x] = low[x] = len(order)
+                path.append(x)
+            for y in rest:
+                if y in self.circles:
+                    continue
+                if y not in order:
+                    todo.append((y, iter(self._names(self.macros[y]))))
+                    break
+                low[x] = min(low[x], order[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == order[x]:
+                    at = path.index(x)
+                    circle = frozenset(path[at:])
+                    self.circles.update(dict.fromkeys(circle, circle))
+                    del path[at:]
+        return self.circles[name]
+
+    def _key(self, name: str, inside: frozenset[str]) -> tuple:
+        return name, inside & self._circle(name)
+
+    def _run(self, wanted: list[tuple]) -> None:
+        """Build the runs of these keys and of all that they need."""
+        todo = list(wanted)
+        while todo:
+            key = todo[-1]
+            if key in self.runs:
+                todo.pop()
+                continue
+            body, inside = self.macros[key[0]], key[1] | {key[0]}
+            need = [k for y in dict.fromkeys(self._names(body)) if y not in inside and (k := self._key(y, inside)) not in self.runs]
+            if need:
+                todo.extend(need)
+            else:
+                self.runs[key] = self._build(body, {}, inside)
+                todo.pop()
+
+    def _build(self, body: str, bound: dict[str, Run], inside: frozenset[str]) -> Run:
+        parts: list = []
+        paste = False
+        for what, x in self._items(body):
+            if what == "stop":
+                return Run(parts, False)
+            if what == "paste":
+                paste = True
+                continue
+            piece: Run | str = x
+            if what == "name":
+                expanded = x not in inside and isinstance(self.macros.get(x), str)
+                piece = bound[x] if x in bound else self.runs[self._key(x, inside)] if expanded else _kind("id", x)
+            if paste and parts:  # a prefix or suffix of a literal
+                run, last = isinstance(piece, Run), parts[-1]
+                ends = (last.last if isinstance(last, Run) else last, piece.first if run else piece)
+                if ends == ("ID", "STR"):
+                    parts[-1:] = [last.cut(-1)] if isinstance(last, Run) and last.size > 1 else []
+                elif ends == ("STR", "ID"):
+                    piece = piece.cut(0) if run else Run([])
+            paste = False
+            if isinstance(piece, str) or piece.parts:
+                parts.append(piece)
+            if isinstance(piece, Run) and not piece.whole:
+                return Run(parts, False)
+        return Run(parts)
+
+    def _of_text(self, body: str, bound: dict[str, Run]) -> Run:
+        self._run([self._key(x, frozenset()) for x in dict.fromkeys(self._names(body)) if x not in bound])
+        return self._build(body, bound, frozenset())
+
+    def name(self, name: str, kinds: list) -> bool:
+        """Append the run of a macro without arguments."""
+        key = self._key(name, frozenset())
+        self._run([key])
+        kinds.append(self.runs[key])
+        return self.runs[key].whole
+
+    def call(self, body: str, bound: dict[str, str], kinds: list) -> bool:
+        """Append the run of a macro with arguments."""
+        key = (body, tuple(bound.items()))
+        if key not in self.runs:
+            self.runs[key] = self._of_text(body, {p: self._of_text(a, {}) for p, a in bound.items()})
+        kinds.append(self.runs[key])
+        return self.runs[key].whole
+
+
+def _without_attributes_shared(parts: list, lines: list[int], budget: list[int]) -> tuple[list, list[int]]:
+    """The same over runs; where an attribute begins in one and ends outside, all of them are written out."""
+    keep = [i for i in _kept(parts) if isinstance(parts[i], str) or parts[i].parts]
+    parts, lines = [parts[i] for i in keep], [lines[i] for i in keep]
+    if not any(p.attributes if isinstance(p, Run) else p in _ATTRIBUTES for p in parts):
+        return parts, lines
+    out: list[str] = []
+    out_lines: list[int] = []
+    todo = list(zip(reversed(parts), reversed(lines)))
+    while todo:
+        budget[0] -= 1
+        if budget[0] < 0:
+            raise TooMuchWork
+        p, line = todo.pop()
+        if isinstance(p, Run):
+            todo.extend((q, line) for q in reversed(p.parts))
+        else:
+            out.append(p)
+            out_lines.append(line)
+    return _without_attributes(out, out_lines)
+
+
 class CGrammar(Grammar):
     """One grammar for both languages; names are not resolved, so what may be a type or a value may be either."""
 

@@ -212,6 +212,41 @@ class Grammar:
                 return Verdict(False, at - 1)
         return Verdict(True) if self.nullable(n) else Verdict(False, at, True)
 
+    def parse_shared(self, parts: list, walk: int = 20_000_000) -> tuple[Verdict, int]:
+        """Verdict on tokens and runs of tokens (`parts` and `size`, at any depth), and the number of the failing part.
+
+        What follows a run depends on the node before it only, so a run is walked once per node.  At most `walk` parts are walked,
+        and fewer steps are allowed than for tokens: only nests that runs open and don't close lead to ever new nodes.
+        """
+        if len(self.nodes) > self.bound:
+            self.rebuild()
+        self.left = self.work // 10 + self.per_token * len(parts)
+        after: dict[tuple, Node] = {}
+        n, at, top = self.start, 0, -1
+        frames = [(None, iter(parts))]
+        while frames:
+            key, rest = frames[-1]
+            part = next(rest, None)
+            if part is None:
+                after[key] = n
+                frames.pop()
+                continue
+            top += len(frames) == 1
+            walk -= 1
+            if walk < 0:
+                raise TooMuchWork
+            if isinstance(part, str):
+                n = n.steps.get(part) or self.derive(n, part)
+                if n is self.empty:
+                    return Verdict(False, at), top
+                at += 1
+            elif (n, part) in after:
+                n = after[n, part]
+                at += part.size
+            else:
+                frames.append(((n, part), iter(part.parts)))
+        return (Verdict(True) if self.nullable(n) else Verdict(False, at, True)), len(parts)
+
     def rebuild(self) -> None:
         """Drop all memos: build the rules anew."""
         self.rules = {}

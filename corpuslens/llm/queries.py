@@ -15,7 +15,7 @@ from corpuslens.llm.group_split import group_split, repo_name
 from corpuslens.llm.leakage import LeakConfig, leaked_items
 from corpuslens.llm.near_duplicates import NearDupConfig, NearDuplicates, near_duplicates
 from corpuslens.llm.quota_sample import quota_sample
-from corpuslens.llm.syntax_check import check_syntax, syntax_rates
+from corpuslens.llm.syntax_check import check_syntax, damaged, syntax_rates
 from corpuslens.llm.term_frequency import marked, term_frequency
 from corpuslens.llm.tokenizer import encode_texts
 from corpuslens.storage import materialise
@@ -270,7 +270,7 @@ def _checked(spark, sf_dir):
 @query
 def p6_found(spark, sf_dir):
     """Records whose code is not valid syntax of its language."""
-    return _checked(spark, sf_dir).where("verdict <> 'ok'").select(F.col("id").alias("sample_id")).where("sample_id is not null").distinct()
+    return damaged(_checked(spark, sf_dir)).select(F.col("id").alias("sample_id")).where("sample_id is not null").distinct()
 
 
 @query

@@ -18,7 +18,7 @@ from corpuslens.llm.leakage import LeakConfig, leaked_items
 from corpuslens.llm.near_duplicates import NearDupConfig, near_duplicates
 from corpuslens.llm.quota_sample import flight, quota_sample
 from corpuslens.llm.reading_level import reading_levels
-from corpuslens.llm.syntax_check import by_grammar, check, check_syntax, syntax_rates
+from corpuslens.llm.syntax_check import by_grammar, check, check_syntax, damaged, settle, syntax_rates
 from corpuslens.llm.term_frequency import marked, term_frequency
 from corpuslens.llm.tokenizer import Encoder, RankQueue, default_vocabulary, encode_texts, read_ranks
 
@@ -320,6 +320,74 @@ def test_texts_that_cannot_hold_up_a_worker():
     assert check("void f() {" + "if (a) " * 3000 + ";}", "c")[0] == "ok"
 
 
+def _doubled(first, use, n=60):
+    return f"#define A0 {first}\n" + "".join(f"#define A{i} A{i - 1} A{i - 1}\n" for i in range(1, n)) + use
+
+
+SETTLED = [
+    (_doubled("x", "int A59;"), ("invalid", 2, 61)),
+    (_doubled("", "int A59;"), ("ok", None, None)),
+    (_doubled("1 +", "int a = A59 1;\nint b;"), ("ok", None, None)),
+    (_doubled("1 +", "int a = A59 1 1;"), ("invalid", None, 61)),
+    (_doubled("1 +", "int a = A25 1 1;", 26), ("invalid", 3 + 2 * 2**25 + 1, 27)),
+    (_doubled("int a;", "A59 int b"), ("truncated", None, 61)),
+    (_doubled("int a;", "#define F(x) x x\nF(A59)"), ("ok", None, None)),
+    (_doubled("int a __attribute__((b));", "A59"), ("ok", None, None)),
+    ("#define X int a;\n" + "X\n" * 110_000, ("ok", None, None)),
+    ("#define X int a;\n" + "X\n" * 110_000 + "int b c;", ("invalid", 330_002, 110_002)),
+    ("#define A0 1\n" + "".join(f"#define A{i} A{i - 1}\n" for i in range(1, 3000)) + "int a = A2999;", ("ok", None, None)),
+]
+
+
+@pytest.mark.parametrize("code,verdict", SETTLED)
+def test_texts_beyond_the_bounds_are_decided(code, verdict):
+    assert by_grammar(code, "c")[0] == "unchecked" and settle(code, "c") == verdict
+
+
+SHARED = [
+    "#define A B + B\n#define B 1\nint a = A;\n#undef B\n#define B 2 2\nint b = A;",
+    "#define A B A\n#define B C A\n#define C A B C\nA; B; C;",
+    "#define F(x, y) x ## y #x\n#define S L\nF(S, \"a\") F(\"a\", b) F(f(1, 2), ) F(S, S)",
+    "#define D __attribute__((a(b))) int\n#define E __attribute__\n#define P ((\nD a; E((x)) int b; __attribute__ P x)) int c; __declspec(",
+    "#define A 'x' '\nint a = A;",
+    "#define A f(0z, B\n#define B @\nA",
+]
+
+
+@pytest.mark.parametrize("code", SHARED)
+def test_shared_runs_are_the_tokens_written_out(code):
+    from corpuslens.llm.c_syntax import tokens
+
+    def flat(parts):
+        return [t for p in parts for t in ([p] if isinstance(p, str) else flat(p.parts))]
+
+    kinds, lines, whole = tokens(code)
+    parts, starts, same = tokens(code, shared=True)
+    assert flat(parts) == kinds and [n for p, n in zip(parts, starts) for _ in range(1 if isinstance(p, str) else p.size)] == lines and whole == same
+
+
+@pytest.mark.parametrize("code", ["x = " + "1+" * 20_000 + "1", "x = " + "not " * 20_000 + "1", "x = " + "1" * 5000, "x = a" + ".b" * 20_000])
+def test_limits_of_the_interpreter_are_no_verdict(code):
+    assert check(code, "python") == ("ok", None, None)
+    assert check(code + "\ny = = 1", "python")[::2] == ("invalid", 2)
+
+
+def test_a_failed_check_is_no_result(spark, tmp_path):
+    nest = _doubled("(", "int a = A59 1;")  # no bound is enough for it
+    assert settle(nest, "c") == settle(nest, "c") == ("unchecked", None, None)
+    rows = [("bad", _doubled("x", "int A59;"), "c", "r"), ("good", _doubled("", "int A59;"), "c", "r"), ("long", "#define X int a;\n" + "X\n" * 110_000, "c", "r"), ("cut", "int a", "c", "r"), ("py", "x = " + "1+" * 20_000 + "1", "py", "r")]
+    columns = "sample_id string, vulnerable_code string, language string, repo string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/a/test_v2.parquet")
+    spark.createDataFrame([*rows, ("nest", nest, "c", "r"), ("nest", nest, "c++", "s")], columns).write.parquet(f"{tmp_path}/b/test_v2.parquet")
+    assert {r.sample_id for r in Q.QUERIES["p6_found"](spark, f"{tmp_path}/a").collect()} == {"bad", "cut"}
+    checked = spark.createDataFrame(Q.QUERIES["p6_files"](spark, f"{tmp_path}/b").withColumnRenamed("sample_id", "id").collect())
+    assert {r.id: r.verdict for r in checked.collect()} == {"bad": "invalid", "good": "ok", "long": "ok", "cut": "truncated", "py": "ok", "nest": "unchecked"}
+    with pytest.raises(Exception, match="syntax of record nest could not be checked"):
+        damaged(checked).select("id").distinct().collect()
+    rates = {(r.repo, r.language): (r.files, r.invalid, r.truncated, r.damaged_rate, r.unchecked) for r in syntax_rates(checked).collect()}
+    assert rates == {("r", "c"): (4, 1, 1, 0.5, 1), ("r", "py"): (1, 0, 0, 0.0, 0), ("s", "c++"): (0, 0, 0, None, 1)}
+
+
 def test_grammar_agrees_with_python_in_both_directions():
     """On the standard library and mutations of it neither a flagged text is acquitted by Python nor an accepted one refused."""
     import ast
